@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm.host_quality import host_quality
 from archivolt.llm.mixing import mix_sources
+from archivolt.llm.pii_crf import find_personal_data
 from archivolt.llm.piece_lattice import Lattice, decode, encode
 from archivolt.llm.probminhash import near_duplicates
 from archivolt.llm.secret_scan import scan_secrets
@@ -20,6 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode(documents(spark, sf_dir), Lattice(PIECES))
     flat = encoded.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "n_pieces", "ids_crc32", "ids")
@@ -53,6 +59,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_piece_sampling, op3_near_duplicates, op6_secrets, op7_mixing, op8_host_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_piece_sampling, op3_near_duplicates, op6_secrets, op7_mixing, op8_host_quality, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
