@@ -11,6 +11,7 @@ from archivolt.llm.host_quality import host_quality
 from archivolt.llm.mixing import mix_sources
 from archivolt.llm.pii_crf import find_personal_data
 from archivolt.llm.piece_lattice import Lattice, decode, encode
+from archivolt.llm.pivot_index import near_vectors
 from archivolt.llm.probminhash import near_duplicates
 from archivolt.llm.secret_scan import scan_secrets
 
@@ -53,12 +54,16 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("row.source").alias("host"), "verdict")
 
 
+def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_piece_sampling, op3_near_duplicates, op6_secrets, op7_mixing, op8_host_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_piece_sampling, op3_near_duplicates, op6_secrets, op7_mixing, op8_host_quality, op10_pivot_index, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
