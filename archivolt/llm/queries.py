@@ -7,8 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archivolt.llm.hash_tree import shard_documents
 from archivolt.llm.host_quality import host_quality
 from archivolt.llm.mixing import mix_sources
+from archivolt.llm.orc_tokens import OrcTokens, tokens_of
 from archivolt.llm.pii_crf import find_personal_data
 from archivolt.llm.piece_lattice import Lattice, decode, encode
 from archivolt.llm.pivot_index import near_vectors
@@ -39,6 +41,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir))
+
+
+def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_of(documents(spark, sf_dir), OrcTokens(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -64,6 +74,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_piece_sampling, op3_near_duplicates, op6_secrets, op7_mixing, op8_host_quality, op10_pivot_index, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_piece_sampling, op3_near_duplicates, op4_hash_tree, op5_orc_tokens, op6_secrets, op7_mixing, op8_host_quality, op10_pivot_index, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
