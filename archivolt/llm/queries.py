@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm.hash_tree import shard_documents
 from archivolt.llm.host_quality import host_quality
+from archivolt.llm.license_scan import scan_licenses
 from archivolt.llm.mixing import mix_sources
 from archivolt.llm.orc_tokens import OrcTokens, tokens_of
 from archivolt.llm.pii_crf import find_personal_data
@@ -64,6 +65,11 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("row.source").alias("host"), "verdict")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("row.doc_id", "licenses", "spans", "containment")
+
+
 def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -74,6 +80,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_piece_sampling, op3_near_duplicates, op4_hash_tree, op5_orc_tokens, op6_secrets, op7_mixing, op8_host_quality, op10_pivot_index, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_piece_sampling, op3_near_duplicates, op4_hash_tree, op5_orc_tokens, op6_secrets, op7_mixing, op8_host_quality, op9_licenses, op10_pivot_index, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
