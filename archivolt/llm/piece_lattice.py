@@ -27,7 +27,7 @@ class Lattice:
     model: str
     alpha: float = 0.5
     seed: int = 1
-    slice_bytes: int = 4 << 20
+    slice_bytes: int = 2 << 20
 
 
 class Vocabulary:
@@ -287,16 +287,27 @@ def sample(texts: pa.Array, row_seed: np.ndarray, p: Lattice) -> tuple[np.ndarra
     return ids, np.bincount(doc, minlength=n)
 
 
-def _encoded(p: Lattice):
+def _texts(raw: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The UTF-8 text of each run of ids; the space put before it goes."""
+    return [b"".join(raw[ids[a:b]].tolist())[1:] for a, b in zip(ends, ends[1:])]
+
+
+def _encoded(p: Lattice, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = vocabulary(p.model).raw
         for batch in batches:
             for part in slices(batch, "text", p.slice_bytes):
+                texts = texts_of(part)
                 key = part.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                ids, n = sample(texts_of(part), mix64(mix64(key + np.uint64(p.seed)) + GOLDEN), p)
+                ids, n = sample(texts, mix64(mix64(key + np.uint64(p.seed)) + GOLDEN), p)
                 ends = np.concatenate([[0], np.cumsum(n)])
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column("row"), lists, pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], ["row", "ids", "n_pieces", "ids_crc32"])
+                if keep:
+                    last, name = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), "ids"
+                else:
+                    back = pa.array(_texts(raw, ids, ends), pa.binary())
+                    last, name = pc.equal(back, texts.cast(pa.binary())), "lossless"
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), last], ["row", "n_pieces", "ids_crc32", name])
 
     return run
 
@@ -310,24 +321,38 @@ def _decoded(model: str):
                 part = lists.slice(lo, 256)
                 ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))])
                 ids = part.flatten().to_numpy(zero_copy_only=False)
-                out = [b"".join(raw[ids[a:b]].tolist())[1:] for a, b in zip(ends, ends[1:])]
+                out = _texts(raw, ids, ends)
                 piece = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(out, pa.binary()).cast(pa.string())], ["row", "decoded"])
 
     return run
 
 
+def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), F.col(text_col).alias("text"))
+
+
+DIGEST = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())]
+
+
 def encode(docs: DataFrame, p: Lattice, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs packed as `row`, with ids (pieces of one sampled segmentation), n_pieces and ids_crc32 (little-endian 32-bit ids).
+    """docs packed as `row`, with n_pieces, ids_crc32 (little-endian 32-bit ids) and ids (pieces of one sampled segmentation).
 
     The draws of a row depend on p.seed and its id_col alone (null as -1), not on partitions or other rows; repeated
     rows get the same pieces. Null and empty texts have no pieces. Texts are taken whole; a space is put
     before each, as the model does, and a literal U+2581 is spelt in bytes, so decode() always gives the
-    text back. Other columns stay in `row`.
+    text back. Other columns stay in `row`; an empty table gives no rows.
     """
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), F.col(text_col).alias("text"))
-    kind = T.StructType([packed.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    return packed.mapInArrow(_encoded(p), kind)
+    packed = _packed(docs, id_col, text_col)
+    kind = T.StructType([packed.schema["row"], *DIGEST, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return packed.mapInArrow(_encoded(p, True), kind)
+
+
+def round_trip(docs: DataFrame, p: Lattice, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As encode(), but the ids are decoded where they were made: lossless tells whether they give the text back."""
+    packed = _packed(docs, id_col, text_col)
+    return packed.mapInArrow(_encoded(p, False), T.StructType([packed.schema["row"], *DIGEST, T.StructField("lossless", T.BooleanType())]))
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

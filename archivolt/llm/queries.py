@@ -13,7 +13,7 @@ from archivolt.llm.license_scan import scan_licenses
 from archivolt.llm.mixing import mix_sources
 from archivolt.llm.orc_tokens import OrcTokens, tokens_of
 from archivolt.llm.pii_crf import find_personal_data
-from archivolt.llm.piece_lattice import Lattice, decode, encode
+from archivolt.llm.piece_lattice import Lattice, round_trip
 from archivolt.llm.pivot_index import near_vectors
 from archivolt.llm.probminhash import near_duplicates
 from archivolt.llm.secret_scan import scan_secrets
@@ -31,11 +31,8 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(documents(spark, sf_dir), Lattice(PIECES))
-    flat = encoded.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "n_pieces", "ids_crc32", "ids")
-    back = decode(flat, PIECES)
-    lossless = F.col("decoded") == F.coalesce("row.text", F.lit(""))
-    return back.select("row.doc_id", "row.n_pieces", "row.ids_crc32", lossless.alias("lossless"))
+    found = round_trip(documents(spark, sf_dir).select("doc_id", "text"), Lattice(PIECES))
+    return found.select("row.doc_id", "n_pieces", "ids_crc32", "lossless")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
