@@ -76,7 +76,8 @@ def repair_volume(uuid: str | None, wanted: str | None, entries: DataFrame, tape
     if not has_records:
         return refuse("no records on this tape")
     chosen = spark.createDataFrame([(wanted,)], "id string") if wanted else find_tape(uuid, entries, tapes, catalog)
-    one = spark.range(1).join(chosen, how="left").join(tapes.select(F.col("id"), F.col("ltfs_uuid"), F.lit(True).alias("known")), "id", "left")
+    row = spark.range(1).select(F.lit(1).alias("row"))
+    one = row.join(chosen, F.lit(True), "left").join(tapes.select(F.col("id"), F.col("ltfs_uuid"), F.lit(True).alias("known")), "id", "left")
     same = matching_tapes(entries, catalog).select(F.col("tape_id").alias("id"), F.lit(True).alias("same"))
     n = entries.agg(F.count("*").alias("n"))
     one = one.join(same, "id", "left").crossJoin(F.broadcast(n))

@@ -17,7 +17,7 @@ SEGMENT = r"/(\d{6})\.manifest\.jsonl$"
 
 
 def _segment(pattern: str) -> Column:
-    return F.regexp_extract("file", pattern, 1).cast("int")
+    return F.regexp_extract("file", pattern, 1).try_cast("int")
 
 
 def segments(spark: SparkSession, meta: str) -> DataFrame:
