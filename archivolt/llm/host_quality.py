@@ -111,17 +111,20 @@ def measured(rows: DataFrame, text_col: str = "text") -> DataFrame:
 def host_table(found: DataFrame, rules: HostRules) -> DataFrame:
     """host, n, failed, shrunk, verdict from rows of (host, failed).
 
-    The prior is a beta distribution by moments over hosts: mean m of their rates, and their variance less the
-    variance that sampling alone explains. Its strength a + b is held within 1 .. max_strength.
+    The prior is a beta distribution by moments: its mean m is the rate over all documents, its strength s = 1 / rho - 1
+    follows from the correlation rho of failures within hosts, by analysis of variance: with S the sum of
+    n (rate - m)^2, N the documents and k the hosts, rho = (S / (m (1 - m)) - (k - 1)) / (N - sum(n^2) / N - (k - 1)).
+    Weighting by n keeps very many tiny hosts from hiding the large ones. s is held within 1 .. max_strength.
     """
-    hosts = found.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"))
-    hosts = written(hosts.withColumn("rate", F.col("failed") / F.col("n")), "hosts")
-    m, v = F.avg("rate"), F.var_pop("rate")
-    prior = hosts.agg(m.alias("m"), v.alias("v"), F.avg(1 / F.col("n")).alias("inv"))
-    spread = F.col("m") * (1 - F.col("m"))
-    between = F.col("v") - spread * F.col("inv")
-    strength = F.when(between <= 0, F.lit(rules.max_strength)).otherwise(F.least(F.greatest(spread / between - 1, F.lit(1.0)), F.lit(rules.max_strength)))
-    prior = prior.select("m", strength.alias("s"))
+    hosts = written(found.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failed")), "hosts")
+    n, f = F.col("n").cast("double"), F.col("failed").cast("double")
+    prior = hosts.agg(F.sum(n).alias("N"), F.sum(f).alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff"), F.count("*").alias("k"))
+    m, more = F.col("f") / F.col("N"), F.col("k") - 1
+    above = (F.col("ff") - F.col("f") * m) / F.nullif(m * (1 - m), F.lit(0.0)) - more
+    room = F.col("N") - F.col("nn") / F.col("N") - more
+    rho = F.when((room > 0) & (above > 0), F.least(above / room, F.lit(1.0)))
+    strength = F.coalesce(F.least(F.greatest(1 / rho - 1, F.lit(1.0)), F.lit(rules.max_strength)), F.lit(rules.max_strength))
+    prior = prior.where("N > 0").select(m.alias("m"), strength.alias("s"))
     shrunk = (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
     verdict = F.when(F.col("shrunk") > rules.blocked, "blocked").when(F.col("shrunk") > rules.suspect, "suspect").otherwise("trusted")
     return hosts.crossJoin(F.broadcast(prior)).withColumn("shrunk", shrunk).select("host", "n", "failed", "shrunk", verdict.alias("verdict"))
