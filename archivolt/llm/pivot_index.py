@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ class PivotIndex:
     dimensions shares 4 of 8 in 97.5 % of cases, one at 0.975 in all but 1 of 10,000 (measured).
 
     Lists are inverted by pairs of pivots: of lists that share s of n, the two first shared pivots in the fixed
-    order of pivots lie within the first n - s + 2 of each, so only pairs of those are posted.
+    order of pivots lie within the first n - s + 2 of each, so only pairs of those are posted. There are at most per_dimension
+    pivots for each dimension, as more of them would cut a space of few dimensions finer than the links are wide.
     block: vectors of one list that are compared with each other at once.
     """
 
@@ -34,6 +35,7 @@ class PivotIndex:
     sample: int = 4096
     block: int = 512
     seed: int = 11
+    per_dimension: int = 8
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -198,6 +200,7 @@ def near_vectors(rows: DataFrame, p: PivotIndex = PivotIndex(), id_col: str = "v
     own of bounded size; a group returns counts and one link per vector, never its pairs. The driver holds
     p.sample vectors at most for each length of vector.
     """
+    whole = p
     vector = F.col(vector_col).cast("array<double>")
     node = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(vector_col).bitwiseOR(F.lit(-(1 << 63))))
     rows = rows.select(node.alias("node"), vector.alias("v")).withColumn("vkey", F.md5(F.transform("v", lambda x: F.coalesce(x.cast("string"), F.lit("null"))).cast("string").cast("binary")))
@@ -208,6 +211,7 @@ def near_vectors(rows: DataFrame, p: PivotIndex = PivotIndex(), id_col: str = "v
     found = None
     for (size,) in heads.select(F.size("v")).distinct().orderBy(F.size("v")).collect():
         own = heads.where(F.size("v") == size)
+        p = replace(whole, pivots=max(whole.nearest, min(whole.pivots, whole.per_dimension * size)))
         sample = own.select("v", F.xxhash64("node").alias("h")).orderBy("h").limit(p.sample).collect()
         pivots = fit_pivots(unit(np.array([r.v for r in sample], np.float64)), p)
         post = own.mapInArrow(_posted(pivots, p), "key int, node long, copies long, bits binary, v binary")
