@@ -130,16 +130,22 @@ def _levels_sql(tree: Tree) -> str:
 def oracle(tree: Tree = Tree()) -> str:
     grown = Tree(tree.shards + 1, tree.per_rack, tree.per_region, tree.weight, tree.slices)
     return f"""
-        WITH keyed AS (
-            SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key,
-                   strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS text FROM documents),
+        WITH octets AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        bits AS (
+            SELECT list(v ORDER BY i) AS t
+            FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM (SELECT CAST(i AS BIGINT) AS i FROM range(256) r(i)))),
+        keyed AS (
+            SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, CAST(strlen(text) + 8 AS BIGINT) AS size,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substring(h, 2 * i - 1, 2))::BIGINT)),
+                                   lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+            FROM octets, bits),
         placed AS (
-            SELECT doc_id, size, text,
+            SELECT doc_id, size, text_crc32,
                    CAST({_levels_sql(tree)} AS INTEGER) AS shard, CAST({_levels_sql(grown)} AS INTEGER) AS grown_shard,
                    floor((('0x' || substr(md5(key || '/slice'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 * {tree.slices}) AS slice
             FROM keyed)
-        SELECT doc_id, size, 'key' AS law, shard, grown_shard,
-               row_number() OVER (PARTITION BY shard ORDER BY slice, doc_id, size) - 1 AS slot,
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY slice, doc_id, size, text_crc32) - 1 AS slot,
                CAST(shard // {tree.per_rack * tree.per_region} AS INTEGER) AS region, CAST(shard // {tree.per_rack} AS INTEGER) AS rack
         FROM placed
     """
