@@ -124,10 +124,11 @@ def host_table(found: DataFrame, rules: HostRules) -> DataFrame:
     room = F.col("N") - F.col("nn") / F.col("N") - more
     rho = F.when((room > 0) & (above > 0), F.least(above / room, F.lit(1.0)))
     strength = F.coalesce(F.least(F.greatest(1 / rho - 1, F.lit(1.0)), F.lit(rules.max_strength)), F.lit(rules.max_strength))
-    prior = prior.where("N > 0").select(m.alias("m"), strength.alias("s"))
-    shrunk = (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
+    found = prior.where("N > 0").select(m.alias("m"), strength.alias("s")).first()  # two numbers
+    mean, strength = (F.lit(found.m), F.lit(found.s)) if found else (F.lit(0.0), F.lit(rules.max_strength))
+    shrunk = (F.col("failed") + mean * strength) / (F.col("n") + strength)
     verdict = F.when(F.col("shrunk") > rules.blocked, "blocked").when(F.col("shrunk") > rules.suspect, "suspect").otherwise("trusted")
-    return hosts.crossJoin(F.broadcast(prior)).withColumn("shrunk", shrunk).select("host", "n", "failed", "shrunk", verdict.alias("verdict"))
+    return hosts.withColumn("shrunk", shrunk).select("host", "n", "failed", "shrunk", verdict.alias("verdict"))
 
 
 def host_quality(docs: DataFrame, rules: HostRules = HostRules(), host_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -70,14 +70,12 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
 def weights(sources: DataFrame, mix: Mix) -> DataFrame:
     """(source, tokens, weight, quota): quota tokens of the budget go to the source, as quota / tokens passes."""
     a = exponent(sources, mix)
-    total = sources.agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(a))).alias("z"))
-    out = sources.crossJoin(F.broadcast(total)).withColumn("weight", F.pow(F.col("tokens").cast("double"), F.lit(a)) / F.col("z"))
-    if mix.budget is None:
-        whole = out.agg(F.max(F.col("tokens") / F.col("weight")).alias("budget"))
-    else:
-        whole = sources.sparkSession.range(1).select(F.lit(float(mix.budget)).alias("budget"))
-    quota = F.least(F.round(F.col("weight") * F.col("budget")), F.floor(F.col("tokens") * F.lit(mix.max_repeats))).cast("long")
-    return out.crossJoin(F.broadcast(whole)).select("source", "tokens", "weight", quota.alias("quota"))
+    power = F.pow(F.col("tokens").cast("double"), F.lit(a))
+    total = sources.agg(F.sum(power).alias("z")).first().z or 1.0
+    out = sources.withColumn("weight", power / F.lit(total))
+    budget = mix.budget if mix.budget is not None else out.agg(F.max(F.col("tokens") / F.col("weight")).alias("b")).first().b or 0.0
+    quota = F.least(F.round(F.col("weight") * F.lit(float(budget))), F.floor(F.col("tokens") * F.lit(mix.max_repeats))).cast("long")
+    return out.select("source", "tokens", "weight", quota.alias("quota"))
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
