@@ -79,14 +79,14 @@ def repair_volume(uuid: str | None, wanted: str | None, entries: DataFrame, tape
     row = spark.range(1).select(F.lit(1).alias("row"))
     one = row.join(chosen, F.lit(True), "left").join(tapes.select(F.col("id"), F.col("ltfs_uuid"), F.lit(True).alias("known")), "id", "left")
     same = matching_tapes(entries, catalog).select(F.col("tape_id").alias("id"), F.lit(True).alias("same"))
-    n = entries.agg(F.count("*").alias("n"))
-    one = one.join(same, "id", "left").crossJoin(F.broadcast(n))
+    readable = not entries.isEmpty()
+    one = one.join(same, "id", "left").withColumn("readable", F.lit(readable))
     other = F.lit(uuid is not None) & F.col("ltfs_uuid").isNotNull() & (F.lower("ltfs_uuid") != F.lit((uuid or "").lower()))
     reason = (
         F.when(F.col("id").isNull(), "the tape could not be identified")
         .when(F.col("known").isNull(), "not in the catalog")
-        .when((F.col("n") > 0) & F.col("same").isNull(), "the files on this tape do not match")
-        .when((F.col("n") == 0) & F.lit(wanted is None), "no readable records confirm its identity")
+        .when(F.col("readable") & F.col("same").isNull(), "the files on this tape do not match")
+        .when(~F.col("readable") & F.lit(wanted is None), "no readable records confirm its identity")
         .when(other, "the volume UUID differs")
     )
     return one.select(F.when(reason.isNull(), "REPAIR").otherwise("REFUSE").alias("decision"), reason.alias("reason"), "id")
