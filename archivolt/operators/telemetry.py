@@ -338,3 +338,10 @@ def new_errors(rows: DataFrame) -> Column:
     """Messages for the counters that rose, the most serious first, from the columns <counter>_since."""
     kinds = [("write_uncorrected", "uncorrected write errors"), ("read_uncorrected", "uncorrected read errors"), ("non_medium", "non-medium errors"), ("write_corrected", "corrected write errors"), ("read_corrected", "corrected read errors")]
     return F.array_compact(F.array(*(F.when(F.col(f"{c}_since") > 0, F.concat(F.lit(f"{told} during this operation: "), F.col(f"{c}_since").cast("string"))) for c, told in kinds)))
+
+
+def microcode_buffer(raw: Column) -> Column:
+    """boundary (power of two that download offsets align to, -1 if undefined) and capacity of a buffer descriptor."""
+    code = be_int(raw, 0, 1)
+    made = F.struct(F.when(code == 0xFF, 0).when(code < 24, code).otherwise(-1).cast("int").alias("boundary"), be_int(raw, 1, 3).alias("capacity"))
+    return F.when(F.octet_length(raw) >= 4, made)

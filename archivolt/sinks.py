@@ -58,3 +58,45 @@ def append_written(rows: DataFrame, path: str) -> None:
 def replace_tape(entries: DataFrame, path: str) -> None:
     """Overwrite the cataloged manifests of the tapes in entries, and no others."""
     entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tape_id").parquet(path)
+
+
+def _restored(batches):
+    import os
+    from hashlib import sha256
+    from pathlib import Path
+
+    import pandas as pd
+
+    for rows in batches:
+        out = []
+        for path, target, raw, want in zip(rows["path"], rows["target"], rows["content"], rows["sha256"]):
+            place = Path(target)
+            if sha256(raw).hexdigest() != want:
+                out.append((path, "FAILED"))
+                continue
+            place.parent.mkdir(parents=True, exist_ok=True)
+            partial = place.with_name(f".{place.name}.{os.getpid()}.partial")
+            partial.write_bytes(raw)
+            try:
+                os.link(partial, place)  # fails if something is there: nothing is ever overwritten
+                out.append((path, "RESTORED"))
+            except FileExistsError:
+                out.append((path, "EXISTS"))
+            finally:
+                partial.unlink()
+        yield pd.DataFrame(out, columns=["path", "result"])
+
+
+def restore_files(files: DataFrame, folder: str) -> DataFrame:
+    """path, result of writing files (path, content, sha256) below a folder that all executors share: checked before they
+    are published, published as a whole, never over what is there. A retried task finds its own file and says EXISTS."""
+    rows = files.select("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path").alias("target"), "content", "sha256")
+    return rows.mapInPandas(_restored, "path string, result string")
+
+
+def new_volume(label: str, ltfs_uuid: str | None, now_ns: int, spark) -> DataFrame:
+    """The identity of a tape that has none: a new UUID, the label cleaned."""
+    from archivolt.functions.validate import clean_label
+
+    one = spark.createDataFrame([(label, ltfs_uuid, now_ns)], "label string, ltfs_uuid string, created_ns long")
+    return one.select(F.expr("uuid()").alias("id"), clean_label(F.col("label")).alias("label"), F.lower("ltfs_uuid").alias("ltfs_uuid"), "created_ns")
