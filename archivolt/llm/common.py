@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Rows handled at once, however short.
+SLICE_ROWS = 4096
 #: Rows up to which a small side is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -49,7 +51,7 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose text adds up to at most limit bytes, one row at least."""
+    """Cut a batch into runs of at most SLICE_ROWS rows whose text adds up to at most limit bytes, one row at least."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -57,7 +59,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, before + limit, side="right"))), start + SLICE_ROWS)
         yield batch.slice(start, stop - start)
         start = stop
 
