@@ -30,7 +30,7 @@ class OrcTokens:
     stripe_bytes: int = 16 << 20
     row_stride: int = 1000
     false_positives: float = 0.01
-    known_units: int = 400_000
+    known_units: int = 200_000
 
 
 @cache
@@ -40,20 +40,57 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Fixed: the characters with the White_Space property, at which the tokenizer's own pattern cuts.
-SPACES = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+#: Fixed: the characters with the White_Space property, at which the tokenizer's own pattern cuts, as UTF-8.
+SPACES = [c.encode() for c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+_ASCII_SPACE = np.isin(np.arange(256), [c[0] for c in SPACES if len(c) == 1])
+_WIDE_LEAD = np.isin(np.arange(256), [c[0] for c in SPACES if len(c) > 1])
+
+
+def space_mask(raw: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space."""
+    mask = _ASCII_SPACE[raw]
+    lead = np.flatnonzero(_WIDE_LEAD[raw])
+    for c in SPACES if len(lead) else ():
+        if len(c) > 1:
+            at = lead[lead + len(c) <= len(raw)]
+            for j, byte in enumerate(c):
+                at = at[raw[at + j] == byte]
+            for j in range(len(c)):
+                mask[at + j] = True
+    return mask
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(units of all texts, text of each): runs of white space with the run of other signs after it; at the start of a text
+    the white space may be missing, at its end the other signs. The string data isn't copied."""
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    first, last = int(bounds[0]), int(bounds[-1])
+    if last == first:
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    mask = space_mask(np.frombuffer(data, np.uint8)[first:last])
+    cut = np.zeros(len(mask), bool)
+    cut[1:] = mask[1:] & ~mask[:-1]
+    cut[bounds[:-1][bounds[1:] > bounds[:-1]] - first] = True
+    starts = np.flatnonzero(cut)
+    of = np.searchsorted(bounds, starts + first, side="right") - 1
+    ends = np.append(starts, len(mask)).astype(np.int32) + np.int32(first)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), data), of
 
 
 class Encoder:
     """Encodes texts by the tokenizers library, each distinct unit once.
 
-    A unit is a run of white space with the run of other signs after it. The byte-level pattern never takes a sign
-    and a white space after it into one piece, and looks ahead only within white space, so the ids of a
-    text are those of its units in a row. Special strings hold no white space, so they lie in one unit too.
+    The byte-level pattern never takes a sign and a white space after it into one piece, and looks ahead only within
+    white space, so the ids of a text are those of its units in a row. Special strings hold no white space, so they
+    lie in one unit too. For the same reason many units that begin with white space are encoded as one text, and the
+    ids dealt back by their bytes, of which every id has a fixed number.
     """
 
     def __init__(self, path: str, room: int):
         self.tokenizer, self.room = tokenizer(path), room
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = np.fromiter(((len(self.tokenizer.id_to_token(i)) if self.tokenizer.id_to_token(i) else 0) for i in range(size)), np.int64, size)
         self.clear()
 
     def clear(self) -> None:
@@ -61,44 +98,76 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
+        self.hits = np.zeros(1 << 12, np.int32)
         self.used = 0
 
-    def add(self, units: list[str]) -> None:
-        for lo in range(0, len(units), 4096):
-            some = units[lo : lo + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    def forget(self) -> None:
+        """Make room: keep the units that more than one slice had; if they are too many, none."""
+        n = len(self.number)
+        keep = np.flatnonzero(self.hits[:n] > 1)
+        if len(keep) > self.room // 2:
+            self.clear()
+            return
+        names, size, first = list(self.number), self.size[keep], self.first[keep]
+        start = np.cumsum(size) - size
+        ids = self.ids[np.arange(int(size.sum())) + np.repeat(first - start, size)]
+        self.number = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids, self.first, self.size, self.used = ids, start, size, len(ids)
+        self.hits = np.zeros(len(keep), np.int32)
+
+    def together(self, some: list[str], width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each unit) of units that may stand in a row; width: their bytes."""
+        blocks = ["".join(some[lo : lo + 512]) for lo in range(0, len(some), 512)]
+        found = self.tokenizer.encode_batch_fast(blocks, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+        last = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(width), side="right")
+        return ids, np.diff(last, prepend=0)
+
+    def add(self, lone: list[str], rest: list[str], width: np.ndarray) -> None:
+        """Learn new units: lone ones don't begin with white space; width: the bytes of the rest."""
+        parts = []
+        if lone:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(lone, add_special_tokens=False)]
             n = np.fromiter(map(len, found), np.int64, len(found))
+            parts.append((lone, np.fromiter((i for x in found for i in x), np.int32, int(n.sum())), n))
+        if rest:
+            parts.append((rest, *self.together(rest, width)))
+        for some, ids, n in parts:
             at = len(self.number)
             if at + len(some) > len(self.first):
-                self.first, self.size = (np.concatenate([x, np.zeros(len(x) + len(some), np.int64)]) for x in (self.first, self.size))
-            total = int(n.sum())
-            if self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + total, np.int32)])
+                self.first, self.size, self.hits = (np.concatenate([x, np.zeros(len(x) + len(some), x.dtype)]) for x in (self.first, self.size, self.hits))
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.int32)])
             self.first[at : at + len(some)] = self.used + np.cumsum(n) - n
             self.size[at : at + len(some)] = n
-            self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
-            self.used += total
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
             self.number.update(zip(some, range(at, at + len(some))))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with end_id after each, their number per text)."""
-        marked = pc.replace_substring_regex(texts, f"([^{SPACES}])([{SPACES}])", "\\1\x00\x01\\2")
-        parts = pc.split_pattern(marked, "\x00\x01")
-        n_parts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        encoded = parts.flatten().dictionary_encode()
-        units = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.number) + len(units) > self.room and self.number:
-            self.clear()
-        self.add([u for u in units if u not in self.number])
-        code = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))[encoded.indices.to_numpy(zero_copy_only=False)]
+        parts, of = units(texts)
+        encoded = parts.dictionary_encode()
+        names = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.number) + len(names) > self.room and self.number:
+            self.forget()
+        _, offsets, data = encoded.dictionary.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[: len(names) + 1] if len(names) else np.zeros(1, np.int32)
+        new = np.array([u not in self.number for u in names], bool)
+        spaced = space_mask(np.frombuffer(data, np.uint8)[: bounds[-1]])[bounds[:-1]] if len(names) else new
+        pick = lambda where: [names[i] for i in np.flatnonzero(where).tolist()]
+        self.add(pick(new & ~spaced), pick(new & spaced), np.diff(bounds)[new & spaced])
+        known = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+        self.hits[known] += 1
+        code = known[encoded.indices.to_numpy(zero_copy_only=False)]
         size = self.size[code]
-        part_doc = np.repeat(np.arange(len(texts)), n_parts)
-        n = np.bincount(part_doc, weights=size, minlength=len(texts)).astype(np.int64) + 1
+        n = np.bincount(of, weights=size, minlength=len(texts)).astype(np.int64) + 1
         out = np.full(int(n.sum()), end_id, np.int32)
-        to = np.cumsum(size) - size + part_doc  # one end id for each text before
-        shift = np.repeat(to - (np.cumsum(size) - size), size)
-        from_ = np.arange(len(shift)) + np.repeat(self.first[code] - (np.cumsum(size) - size), size)
-        out[np.arange(len(shift)) + shift] = self.ids[from_]
+        before = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.int32)
+        to = place + np.repeat(of.astype(np.int32), size)  # one end id for each text before
+        place += np.repeat((self.first[code] - before).astype(np.int32), size)
+        out[to] = self.ids[place]
         return out, n
 
 
@@ -107,16 +176,7 @@ def _tokenised(p: OrcTokens):
         encoder, at = Encoder(p.tokenizer, p.known_units), 0
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                texts = texts_of(part)
-                # a text that holds the separator itself is encoded whole
-                odd = pc.match_substring(texts, "\x00\x01").to_numpy(zero_copy_only=False)
-                ids, n = encoder.encode(pc.if_else(pa.array(odd), pa.scalar(""), texts) if odd.any() else texts, p.end_id)
-                if odd.any():
-                    rows = np.split(ids, np.cumsum(n)[:-1])
-                    for i in np.flatnonzero(odd):
-                        whole = encoder.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids
-                        rows[i] = np.array([*whole, p.end_id], np.int32)
-                    ids, n = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+                ids, n = encoder.encode(texts_of(part), p.end_id)
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 place = pa.array(np.arange(at, at + part.num_rows))
                 at += part.num_rows

@@ -189,8 +189,6 @@ def test_the_library_decodes_the_pieces_too(docs):
 @given(st.text(alphabet="a'sZ1 \n\t\x1c\x85\xa0　é!<|endoftext|>\x00\x01", max_size=40))
 def test_units_encode_as_whole_texts(text):
     tok = orc_tokens.tokenizer(BYTES)
-    if "\x00\x01" in text:
-        return
     ids, n = orc_tokens.Encoder(BYTES, 1000).encode(pa.array([text, "x"]), 0)
     assert ids[: n[0]].tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
 
