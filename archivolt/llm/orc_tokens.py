@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache
 
@@ -194,6 +195,18 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), batch.column("place"), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["file", "doc_id", "place", "n_tokens", "ids_crc32"])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1200):
+    """Hold the rows of an Arrow batch down while a table is written: rows of ids are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_tokens(docs: DataFrame, path: str, p: OrcTokens, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write (doc_id, place, ids) as ORC files under path, in ascending doc_id order over the files and within each.
 
@@ -210,7 +223,8 @@ def write_tokens(docs: DataFrame, path: str, p: OrcTokens, id_col: str = "doc_id
         "compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(p.false_positives), "orc.row.index.stride": str(p.row_stride),
         "orc.stripe.size": str(p.stripe_bytes), "orc.create.index": "true",
     }
-    encoded.write.options(**options).orc(path)
+    with small_batches(docs.sparkSession):
+        encoded.write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +238,8 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
 
     Starts add up in two steps, files (a few numbers each, in order of their least doc_id) and rows within a file.
     """
-    rows = written(read_tokens(spark, path).mapInArrow(_digested, "file string, doc_id long, place long, n_tokens long, ids_crc32 long"), "digests")
+    with small_batches(spark):
+        rows = written(read_tokens(spark, path).mapInArrow(_digested, "file string, doc_id long, place long, n_tokens long, ids_crc32 long"), "digests")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls"))
     # files hold ranges of ids: at most one of them has null ids, and it comes first
     order = Window.orderBy(F.col("nulls").desc(), "least", "file").rowsBetween(Window.unboundedPreceding, -1)
