@@ -84,8 +84,9 @@ class Encoder:
 
     The byte-level pattern never takes a sign and a white space after it into one piece, and looks ahead only within
     white space, so the ids of a text are those of its units in a row. Special strings hold no white space, so they
-    lie in one unit too. For the same reason many units that begin with white space are encoded as one text, and the
-    ids dealt back by their bytes, of which every id has a fixed number.
+    lie in one unit too. For the same reason many units that begin with white space and end in another sign are encoded
+    as one text, and the ids dealt back by their bytes, of which every id has a fixed number. Units of white space alone
+    are not: the pattern would take them together with the white space of the next unit.
     """
 
     def __init__(self, path: str, room: int):
@@ -125,7 +126,7 @@ class Encoder:
         return ids, np.diff(last, prepend=0)
 
     def add(self, lone: list[str], rest: list[str], width: np.ndarray) -> None:
-        """Learn new units: lone ones don't begin with white space; width: the bytes of the rest."""
+        """Learn new units: lone ones don't begin with white space or are nothing else; width: the bytes of the rest."""
         parts = []
         if lone:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(lone, add_special_tokens=False)]
@@ -155,9 +156,10 @@ class Encoder:
         _, offsets, data = encoded.dictionary.buffers()
         bounds = np.frombuffer(offsets, np.int32)[: len(names) + 1] if len(names) else np.zeros(1, np.int32)
         new = np.array([u not in self.number for u in names], bool)
-        spaced = space_mask(np.frombuffer(data, np.uint8)[: bounds[-1]])[bounds[:-1]] if len(names) else new
+        mask = space_mask(np.frombuffer(data, np.uint8)[: bounds[-1]]) if len(names) else new
+        joined = mask[bounds[:-1]] & ~mask[bounds[1:] - 1] if len(names) else new  # one that ends in white space holds nothing else
         pick = lambda where: [names[i] for i in np.flatnonzero(where).tolist()]
-        self.add(pick(new & ~spaced), pick(new & spaced), np.diff(bounds)[new & spaced])
+        self.add(pick(new & ~joined), pick(new & joined), np.diff(bounds)[new & joined])
         known = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
         self.hits[known] += 1
         code = known[encoded.indices.to_numpy(zero_copy_only=False)]

@@ -193,6 +193,18 @@ def test_units_encode_as_whole_texts(text):
     assert ids[: n[0]].tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="a1 \n\t\x85\xa0\u3000é!", max_size=12), max_size=8))
+def test_units_of_many_texts_encode_apart(texts):
+    texts = ["one\n", "\n\nPara", *texts, " \n ", "x  ", "   y"]
+    tok = orc_tokens.tokenizer(BYTES)
+    encoder = orc_tokens.Encoder(BYTES, 1000)
+    for _ in range(2):  # new units, then known ones
+        ids, n = encoder.encode(pa.array(texts), 0)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def test_token_files(spark, docs, odd, tmp_path):
     both = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")).repartition(5)
     p = orc_tokens.OrcTokens(BYTES, file_bytes=200_000)
