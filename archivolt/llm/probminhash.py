@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm.common import GOLDEN, Words, distinct_counts, is_small, mix64, shingles, slices, text_key, texts_of, uniform, written
 from archivolt.llm.components import connected_components
+from archivolt.llm.pivot_index import local_roots
 
 
 @dataclass(frozen=True)
@@ -20,9 +21,8 @@ class Sketch:
     """width: words in a shingle; bands x rows: sketch components; threshold: least similarity of a link.
 
     At a similarity of 0.8, 40 bands of 6 rows miss a pair with probability (1 - 0.8^6)^40 = 5e-6.
-    small: members of a bucket whose pairs are listed. Members of larger buckets that hold several components are
-    put into buckets anew, by bands of `long` components: 30 of 8 miss a pair with probability 0.4 % at 0.8 and 7e-5 at 0.85.
-    reps: members of a bucket too large even then that all others are compared with.
+    small: members of a bucket whose pairs are listed. Larger buckets that hold several components are compared whole,
+    in blocks of `block` members.
     """
 
     width: int = 5
@@ -30,8 +30,7 @@ class Sketch:
     rows: int = 6
     threshold: float = 0.8
     small: int = 24
-    long: int = 8
-    reps: int = 2
+    block: int = 512
 
     @property
     def size(self) -> int:
@@ -115,11 +114,10 @@ def _sketched(p: Sketch):
                 n = part.num_rows
                 has = np.bincount(doc, minlength=n) > 0
                 parts = sketches(doc, key, weights(times), n, p.size)
-                lists = []
-                for bands in (band_keys(parts, p.bands, p.rows), band_keys(parts[:, :: -1], p.size // p.long, p.long)):
-                    ends = np.concatenate([[0], np.cumsum(np.where(has, bands.shape[1], 0))]).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[has].ravel())))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("tkey"), *lists], ["node", "tkey", "bands", "long"])
+                ends = np.concatenate([[0], np.cumsum(np.where(has, p.bands, 0))]).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(parts, p.bands, p.rows)[has].ravel()))
+                short = pa.array([x.tobytes() for x in parts.astype(np.uint8)], pa.binary())  # equal components stay equal
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("tkey"), bands, short], ["node", "tkey", "bands", "sketch"])
 
     return run
 
@@ -138,16 +136,17 @@ def _shingled(width: int):
     return run
 
 
-def _verified(threshold: float):
-    def weighed(times: bytes):
-        return weights(np.frombuffer(times, np.uint32).astype(np.float64)) if times else None
+def _weighed(times: bytes):
+    return weights(np.frombuffer(times, np.uint32).astype(np.float64)) if times else None
+
 
+def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, sim = [], [], []
             for i in range(batch.num_rows):
                 ka, ta, kb, tb = (batch.column(c)[i].as_py() for c in ("a_keys", "a_times", "b_keys", "b_times"))
-                s = probability_jaccard(np.frombuffer(ka, np.uint64), weighed(ta), np.frombuffer(kb, np.uint64), weighed(tb))
+                s = probability_jaccard(np.frombuffer(ka, np.uint64), _weighed(ta), np.frombuffer(kb, np.uint64), _weighed(tb))
                 if s >= threshold:
                     a.append(batch.column("a")[i].as_py())
                     b.append(batch.column("b")[i].as_py())
@@ -177,28 +176,151 @@ def _listed(rows: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a < b and ca <> cb").select("a", "b")
 
 
-def _rest(buckets: DataFrame, bands: DataFrame, label: DataFrame, p: Sketch) -> DataFrame:
-    """Pairs that share a bucket, are still in different components and haven't been compared as a bucket's least node and a member.
+def least_agreement(size: int, similarity: float, miss: float = 1e-6) -> int:
+    """Equal components of two texts of that similarity: fewer with probability `miss` at most."""
+    below = 0.0
+    for k in range(size):
+        below += math.comb(size, k) * similarity**k * (1 - similarity) ** (size - k)
+        if below > miss:
+            return k
+    return size
+
+
+def close_pairs(sketch: np.ndarray, part: np.ndarray, component: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, equal components) of the pairs of a group across its two parts, or within its only one, that have `least` equal
+    components or more and lie in different components of the graph."""
+    left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+    columns, found = np.ascontiguousarray(sketch.T), []
+    across = columns[:, right]
+    for start in range(0, len(left), 256):
+        rows = left[start : start + 256]
+        equal = np.zeros((len(rows), len(right)), np.uint16)
+        for mine, others in zip(columns[:, rows], across):
+            equal += mine[:, None] == others[None, :]
+        ok = (equal >= least) & (component[rows][:, None] != component[right][None, :])
+        if part.min() == part.max():
+            ok &= rows[:, None] < right[None, :]
+        x, y = np.nonzero(ok)
+        found.append((rows[x], right[y], equal[x, y]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _whole_groups(compare, names: list[str]):
+    """Hands compare() the rows of one (key, i, j) at a time; they come one after the other. It gives columns, or None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last group so far; a group has two blocks of rows at most
+
+        def out(groups):
+            done = [x for x in (compare(g) for g in groups if g.num_rows > 1) if x is not None]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*done)], names)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            group = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
+            cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+            starts = np.concatenate([[0], cut])
+            yield from out(table.slice(a, b - a) for a, b in zip(starts, cut))
+            held = table.slice(int(starts[-1])).combine_chunks()
+        if held is not None:
+            yield from out([held])
+
+    return run
+
+
+def _close_in(rows: pa.Table, least: int):
+    node, part, component = (rows.column(c).to_numpy() for c in ("node", "part", "component"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    return node, close_pairs(sketch, part, component, least)
+
+
+def _close(p: Sketch):
+    """For each member of a group with a close one the least member it is close to, over any number of steps."""
+    least = least_agreement(p.size, p.threshold)
+
+    def compare(rows: pa.Table):
+        node, (a, b, _) = _close_in(rows, least)
+        if not len(a):
+            return None
+        root = local_roots(len(node), a, b)
+        some = np.flatnonzero(root != np.arange(len(node)))
+        return node[root[some]], node[some]
+
+    return _whole_groups(compare, ["a", "b"])
 
-    Rows grow with the number of texts, never with the square of a bucket: buckets of p.small members at most are
-    listed, texts in larger ones get bands x apart new buckets of two bands each, where chance meetings of texts
-    that only share a passage thin out, and what is large even there is compared with p.reps members of it.
+
+def _linked(p: Sketch):
+    """Links that join a group's components: all close pairs are verified, the closest first, but those joined by then."""
+    least = least_agreement(p.size, p.threshold)
+
+    def compare(rows: pa.Table):
+        node, (a, b, equal) = _close_in(rows, least)
+        up = {int(c): int(c) for c in rows.column("component").to_numpy()}
+        of = rows.column("component").to_pylist()
+        keys, times = rows.column("keys").to_pylist(), rows.column("times").to_pylist()
+
+        def root(c):
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        found = []
+        for k in np.argsort(-equal.astype(np.int64), kind="stable").tolist():
+            x, y = sorted((int(a[k]), int(b[k])), key=lambda i: node[i])
+            cx, cy = root(of[x]), root(of[y])
+            if cx == cy:
+                continue
+            s = probability_jaccard(np.frombuffer(keys[x], np.uint64), _weighed(times[x]), np.frombuffer(keys[y], np.uint64), _weighed(times[y]))
+            if s >= p.threshold:
+                up[cx] = cy
+                found.append((node[x], node[y], s))
+        return tuple(np.array(c) for c in zip(*found)) if found else None
+
+    return _whole_groups(compare, ["a", "b", "similarity"])
+
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """rows (key, n: rows of the key, node, ...) in groups (key, i, j) of two blocks at most: each pair of a key's blocks is a group."""
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+
+def _crowded(rows: DataFrame, bands: DataFrame, sets: DataFrame, p: Sketch) -> DataFrame:
+    """Links that join the components of crowded buckets: rows (key, node, component, n).
+
+    All pairs of a bucket across components are looked at, first by their sketches: pairs with too few equal components
+    for p.threshold go (1e-6 of those at it). What is left joins the texts into families; all close pairs of a family
+    are verified, each family once, however many buckets it shares. Work grows with the square of a bucket, rows with
+    that over p.block.
     """
-    component = F.coalesce("component", "node").alias("component")
-    rows = _mixed(buckets.join(label, "node", "left").select("key", "node", component), "mixed")
-    pairs = _listed(rows.where((F.col("n") <= p.small) & (F.col("node") != F.col("rep"))))
-    crowded = written(rows.where(F.col("n") > p.small).select("node", "component").distinct(), "crowded")
-    if crowded.isEmpty():
-        return pairs.distinct()
-    again = bands.join(F.broadcast(crowded) if is_small(crowded) else crowded, "node").select("node", "component", F.explode("long").alias("key"))
-    rows = _mixed(again, "mixed_long")
-    pairs = pairs.unionByName(_listed(rows.where(F.col("n") <= p.small)))
-    large = rows.where(F.col("n") > p.small).select("key", "node", "component")
-    draws = [F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "component") for k in range(p.reps)]
-    reps = large.groupBy("key").agg(F.array(*(F.min(d) for d in draws)).alias("reps"))
-    others = F.filter("reps", lambda r: r["component"] != F.col("component"))
-    met = large.join(reps, "key").select("node", F.explode(F.array_distinct(F.transform(others, lambda r: r["node"]))).alias("rep")).distinct()
-    return pairs.unionByName(met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))).distinct()
+    groups = _blocks(rows.select("key", "node", "component", "n").join(bands.select("node", "sketch"), "node"), p.block)
+    close = written(groups.mapInArrow(_close(p), "a long, b long").distinct(), "close")
+    families = connected_components(close).select("node", F.col("component").alias("key"))
+    families = families.join(rows.select("node", "component").distinct(), "node")
+    families = written(families.join(families.groupBy("key").agg(F.count("*").alias("n")), "key"), "families")
+    members = F.broadcast(families) if is_small(families) else families
+    members = members.join(bands.select("node", "sketch"), "node").join(sets, "node")
+    return _blocks(members, p.block).mapInArrow(_linked(p), "a long, b long, similarity double")
+
+
+def _rest(rows: DataFrame, stars: DataFrame, bands: DataFrame, sets: DataFrame, p: Sketch) -> DataFrame:
+    """Links between texts of one bucket that are still in different components; rows: of _mixed().
+
+    Buckets of p.small members at most are listed, larger ones compared in blocks. A pair is left out only where it has
+    been compared as a bucket's least node and a member, or where its texts are joined already.
+    """
+    small = _listed(rows.where((F.col("n") <= p.small) & (F.col("node") != F.col("rep"))))
+    links = _verify(written(small.distinct().join(stars, ["a", "b"], "left_anti"), "rest"), sets, p)
+    crowded = rows.where(F.col("n") > p.small)
+    if not crowded.isEmpty():
+        links = links.unionByName(_crowded(crowded, bands, sets, p))
+    return written(links.dropDuplicates(["a", "b"]), "links")
 
 
 def _node(id_col: str, text_col: str) -> Column:
@@ -219,14 +341,14 @@ def near_duplicates(docs: DataFrame, p: Sketch = Sketch(), id_col: str = "doc_id
     document: their texts' classes are one, and kept is true for each of them, or none. Other columns
     are ignored. An empty table gives no rows.
 
-    No pair of equal texts is made. In each bucket only the least member is compared with the others;
-    the pairs that could still join two components follow, see _rest().
+    No pair of equal texts is made. In each bucket only the least member is compared with the others first;
+    all pairs that could still join two components follow, see _rest().
     """
     rows = docs.select(_node(id_col, text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tkey", text_key())
-    sketched = written(rows.mapInArrow(_sketched(p), "node long, tkey binary, bands array<long>, long array<long>"), "sketched")
+    sketched = written(rows.mapInArrow(_sketched(p), "node long, tkey binary, bands array<long>, sketch binary"), "sketched")
     texts = written(sketched.groupBy("tkey").agg(F.min("node").alias("text_class")), "texts")
     heads = texts.groupBy(F.col("text_class").alias("node")).agg(F.min("tkey").alias("tkey"))
-    bands = written(sketched.where(F.size("bands") > 0).join(heads, ["node", "tkey"], "left_semi").dropDuplicates(["node"]).select("node", "tkey", "bands", "long"), "bands")
+    bands = written(sketched.where(F.size("bands") > 0).join(heads, ["node", "tkey"], "left_semi").dropDuplicates(["node"]).select("node", "tkey", "bands", "sketch"), "bands")
     buckets = bands.select(F.explode("bands").alias("key"), "node")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1")
     buckets = written(buckets.join(shared, "key").select("key", "node", "rep"), "buckets")
@@ -236,12 +358,12 @@ def near_duplicates(docs: DataFrame, p: Sketch = Sketch(), id_col: str = "doc_id
     sets = written(sets.mapInArrow(_shingled(p.width), "node long, keys binary, times binary").dropDuplicates(["node"]), "sets")
     links = written(_verify(stars, sets, p), "links")
     label = connected_components(links)
-    rest = written(_rest(buckets.select("key", "node"), bands, label, p).join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = written(_verify(rest, sets, p), "links")
+    component = F.coalesce("component", "node").alias("component")
+    mixed = _mixed(buckets.select("key", "node").join(label, "node", "left").select("key", "node", component), "mixed")
+    more = _rest(mixed, stars, bands, sets, p)
+    if not more.isEmpty():
         links = links.unionByName(more)
-        if not more.isEmpty():
-            label = connected_components(links)
+        label = connected_components(links)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     by_text = (
         texts.join(label.withColumnRenamed("node", "text_class"), "text_class", "left")

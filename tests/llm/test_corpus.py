@@ -132,6 +132,32 @@ def test_crowded_buckets_lose_nothing(copies):
     assert {(r.doc_id, r.class_id) for r in probminhash.near_duplicates(df.repartition(3), tight).collect()} == set(slow_classes(rows).items())
 
 
+@pytest.fixture(scope="module")
+def edited(spark):
+    """A text with a doc_id in the middle and 1,000 edited copies: each is a near copy of it, hardly any of each other."""
+    r = random.Random(5)
+    base = varied(r, 500)
+    rows = []
+    for i in range(1001):
+        t = list(base)
+        for at in r.sample(range(500), 9) if i != 500 else ():
+            t[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def test_an_original_in_the_middle_holds_its_copies_together(spark, edited):
+    weights = {i: shingle_weights(t) for i, t in edited}
+    assert all(w == 1 for x in weights.values() for w in x.values())  # so that it is the Jaccard index of sets
+    alike = lambda a, b: len(a.keys() & b.keys()) / len(a.keys() | b.keys())
+    links = [(500, i) for i in weights if i != 500 and alike(weights[500], weights[i]) >= 0.8]
+    assert len(links) > 900 and np.mean([alike(weights[i], weights[i + 1]) for i in range(400)]) < 0.75
+    df = spark.createDataFrame(edited, "doc_id long, text string").repartition(4)
+    for p in (probminhash.Sketch(), probminhash.Sketch(small=3, block=100)):
+        got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(df, p).collect()}
+        assert len(got) == 1001 and all(got[i] == got[500] for _, i in links)
+
+
 def test_one_of_each_stays(copies, spark):
     df, rows = copies
     want = {i for i, c in slow_classes(rows).items() if i == c}
