@@ -328,12 +328,12 @@ def _node(id_col: str, text_col: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, p: Sketch = Sketch(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id, text_class, n_links, kept.
+    """One row per row of docs: doc_id, class_id, text_class, compared_links, kept.
 
     class_id: the least doc_id among texts joined by links; a link is a probability Jaccard of at least
     p.threshold between the weighted p.width-word shingles of two different texts. text_class: the least
-    doc_id with the same text. n_links: found links of the text with other texts (those within a bucket
-    to its least member, and all that join components). kept: doc_id = class_id.
+    doc_id with the same text. compared_links: links found between the text and others among the pairs that
+    were compared; pairs of one class that other links join already are not. kept: doc_id = class_id.
 
     Equal texts are one class whatever they hold, empty and null ones (null = empty) included; texts without a
     word link with no other text. A text of fewer than p.width words is one shingle. Rows without a
@@ -364,16 +364,16 @@ def near_duplicates(docs: DataFrame, p: Sketch = Sketch(), id_col: str = "doc_id
     if not more.isEmpty():
         links = links.unionByName(more)
         label = connected_components(links)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("compared_links"))
     by_text = (
         texts.join(label.withColumnRenamed("node", "text_class"), "text_class", "left")
         .join(degree.withColumnRenamed("node", "text_class"), "text_class", "left")
-        .select("tkey", "text_class", F.coalesce("component", "text_class").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        .select("tkey", "text_class", F.coalesce("component", "text_class").alias("class_id"), F.coalesce("compared_links", F.lit(0).cast("long")).alias("compared_links"))
     )
     return (
         sketched.select("node", "tkey")
         .join(by_text, "tkey")
-        .select(F.col("node").alias("doc_id"), "class_id", "text_class", "n_links", (F.col("node") == F.col("class_id")).alias("kept"))
+        .select(F.col("node").alias("doc_id"), "class_id", "text_class", "compared_links", (F.col("node") == F.col("class_id")).alias("kept"))
     )
 
 

@@ -158,6 +158,11 @@ def test_an_original_in_the_middle_holds_its_copies_together(spark, edited):
         assert len(got) == 1001 and all(got[i] == got[500] for _, i in links)
 
 
+def test_links_are_named_as_those_compared(copies):
+    df, _ = copies
+    assert probminhash.near_duplicates(df.limit(0)).columns == ["doc_id", "class_id", "text_class", "compared_links", "kept"]
+
+
 def test_one_of_each_stays(copies, spark):
     df, rows = copies
     want = {i for i, c in slow_classes(rows).items() if i == c}
