@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,22 +13,26 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once in a Python worker; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Rows handled at once, however short.
 SLICE_ROWS = 4096
-#: Rows up to which a small side is broadcast; beyond it the join is shuffled.
+#: Rows and bytes up to which a small side is broadcast; beyond either the join is shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="archivolt-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -42,19 +47,56 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table has at most so many rows; reads Parquet footers only."""
-    return df.count() <= rows
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def is_small(df: DataFrame) -> bool:
+    """Whether a written table of plain columns has at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    rows = df.count()  # from the footers
+    if rows > BROADCAST_ROWS:
+        return False
+    size = 8 * rows * (len(df.columns) - len(wide))
+    if wide and rows:
+        size += df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in wide), F.lit(16 * len(wide))))).first()[0]
+    return size <= BROADCAST_BYTES
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table, marked to be broadcast if it is small."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def packed(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """(docs as one struct column `row`, so that no name can clash; the place of text_col in it). Texts go to Python once."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), docs.columns.index(text_col)
+
+
+def fields_of(rows: pa.StructArray, places: list[int] | None) -> pa.StructArray:
+    """rows with only the fields at some places, or as they are."""
+    return rows if places is None else pa.StructArray.from_arrays([rows.field(i) for i in places], [rows.type[i].name for i in places])
+
+
+def column_of(batch: pa.RecordBatch, column: str | int) -> pa.Array:
+    """A batch's column by name, or a field of its `row` by place."""
+    return batch.column("row").field(column) if isinstance(column, int) else batch.column(column)
+
+
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of at most SLICE_ROWS rows whose text adds up to at most limit bytes, one row at least."""
     if not batch.num_rows:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(column_of(batch, column).cast(pa.string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
@@ -62,11 +104,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         stop = min(max(start + 1, int(np.searchsorted(ends, before + limit, side="right"))), start + SLICE_ROWS)
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+def texts_of(batch: pa.RecordBatch, column: str | int = "text") -> pa.Array:
     """A batch's text column as strings without nulls."""
-    return pc.fill_null(batch.column(column).cast(pa.string()), "")
+    return pc.fill_null(column_of(batch, column).cast(pa.string()), "")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

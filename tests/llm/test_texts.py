@@ -189,7 +189,7 @@ def test_the_library_decodes_the_pieces_too(docs):
 @given(st.text(alphabet="a'sZ1 \n\t\x1c\x85\xa0　é!<|endoftext|>\x00\x01", max_size=40))
 def test_units_encode_as_whole_texts(text):
     tok = orc_tokens.tokenizer(BYTES)
-    ids, n = orc_tokens.Encoder(BYTES, 1000).encode(pa.array([text, "x"]), 0)
+    ids, n = orc_tokens.Encoder(BYTES, 1000).encode(pa.array([text, "x"]))
     assert ids[: n[0]].tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
 
 
@@ -200,7 +200,7 @@ def test_units_of_many_texts_encode_apart(texts):
     tok = orc_tokens.tokenizer(BYTES)
     encoder = orc_tokens.Encoder(BYTES, 1000)
     for _ in range(2):  # new units, then known ones
-        ids, n = encoder.encode(pa.array(texts), 0)
+        ids, n = encoder.encode(pa.array(texts))
         got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
         assert got == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
