@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivolt.llm.common import Words, is_small, slices, sums_by, texts_of, written
+from archivolt.llm.common import Words, fields_of, is_small, packed, slices, sums_by, texts_of, written
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -94,18 +94,23 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            found = measures(texts_of(part))
-            yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], ["row", *MEASURES])
+def _measured(text_at: int, keep: list[int] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_at):
+                found = measures(texts_of(part, text_at))
+                yield pa.RecordBatch.from_arrays([fields_of(part.column("row"), keep), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], ["row", *MEASURES])
 
+    return run
 
-def measured(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """rows packed into a struct `row` (so no name can clash), and the measures of text_col beside it."""
-    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(text_col).alias("text"))
-    kind = T.StructType([packed.schema["row"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    return packed.mapInArrow(_measured, kind)
+
+def measured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) packed into a struct `row` (so no name can clash), and the measures of text_col beside it."""
+    rows, at = packed(docs, text_col)
+    places = None if keep is None else [docs.columns.index(c) for c in keep]
+    fields = rows.schema["row"].dataType.fields
+    row = T.StructField("row", T.StructType(fields if places is None else [fields[i] for i in places]))
+    return rows.mapInArrow(_measured(at, places), T.StructType([row, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
 
 
 def host_table(found: DataFrame, rules: HostRules) -> DataFrame:
@@ -131,8 +136,8 @@ def host_table(found: DataFrame, rules: HostRules) -> DataFrame:
     return hosts.withColumn("shrunk", shrunk).select("host", "n", "failed", "shrunk", verdict.alias("verdict"))
 
 
-def host_quality(docs: DataFrame, rules: HostRules = HostRules(), host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs packed as `row`, with the measures, base_failed, soft_failed, verdict (of the host) and kept.
+def host_quality(docs: DataFrame, rules: HostRules = HostRules(), host_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep, host_col among them) packed as `row`, with the measures, base_failed, soft_failed, verdict (of the host) and kept.
 
     kept is false if base_failed, if the host is blocked, or if it is suspect and a softer rule fails.
     Null and empty texts have no words and fail. Rows without a host form one group of their own. Repeated rows
@@ -141,7 +146,7 @@ def host_quality(docs: DataFrame, rules: HostRules = HostRules(), host_col: str
     Only hosts that aren't trusted are joined back: broadcast if at most 200,000, else salted, so that a host with
     a third of all rows is spread over many tasks.
     """
-    found = measured(docs, text_col).withColumn("host", F.coalesce(F.col(f"row.`{host_col}`").cast("string"), F.lit("\x00")))
+    found = measured(docs, text_col, keep).withColumn("host", F.coalesce(F.col(f"row.`{host_col}`").cast("string"), F.lit("\x00")))
     found = written(found.withColumn("base_failed", rules.base_failed()).withColumn("soft_failed", rules.soft_failed()), "measured")
     hosts = host_table(found.select("host", (F.col("base_failed") | F.col("soft_failed")).alias("failed")), rules)
     bad = written(hosts.where("verdict <> 'trusted'").select("host", "verdict"), "bad_hosts")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivolt.llm.common import GOLDEN, mix64, slices, texts_of, uniform
+from archivolt.llm.common import GOLDEN, column_of, fields_of, mix64, packed, slices, texts_of, uniform
 
 SPACE = "▁"
 
@@ -27,7 +27,7 @@ class Lattice:
     model: str
     alpha: float = 0.5
     seed: int = 1
-    slice_bytes: int = 2 << 20
+    slice_bytes: int = 1 << 20
 
 
 class Vocabulary:
@@ -186,7 +186,7 @@ class Paths:
 
         def add(at, size, weight, piece):
             starts.append((level[rel[at]] + unit[at]).astype(np.int32))
-            ends.append(level[rel[at] + size] + unit[at])
+            ends.append((level[rel[at] + size] + unit[at]).astype(np.int32))
             weights.append(weight)
             pieces.append(piece.astype(np.int32))
 
@@ -206,11 +206,18 @@ class Paths:
             ok = state >= 0
             at, state = at[ok], state[ok]
             depth += 1
+        del symbol, single, lone, points, at, state, left, unit, spaced, code
         b = np.concatenate(ends)
+        ends.clear()
         order = np.argsort(b, kind="stable")
         b = b[order]
-        self.a, self.piece = np.concatenate(starts)[order], np.concatenate(pieces)[order]
+        self.a = np.concatenate(starts)[order]
+        starts.clear()
+        self.piece = np.concatenate(pieces)[order]
+        pieces.clear()
         weight = np.concatenate(weights)[order]
+        weights.clear()
+        del order
         nodes = len(strings) + len(rel)
         #: edges into node k (k past the begin nodes): edge0[k - units] up to the next
         self.units = len(strings)
@@ -229,7 +236,9 @@ class Paths:
             if r % 8 == 0:  # keep long units in range: scale what later edges can still start from
                 for back in range(min(r, v.longest)):
                     total[level[r - back] : level[r - back] + n] /= summed
+        del total, weight
         run = np.cumsum(odds)
+        del odds
         first = self.edge0[b - len(strings)]
         self.cum = b + (run - np.where(first > 0, run[first - 1], 0.0))  # node + odds so far: rising over all edges
 
@@ -292,22 +301,22 @@ def _texts(raw: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [b"".join(raw[ids[a:b]].tolist())[1:] for a, b in zip(ends, ends[1:])]
 
 
-def _encoded(p: Lattice, keep: bool):
+def _encoded(p: Lattice, text_at: int, id_at: int, keep: list[int] | None, ids_wanted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = vocabulary(p.model).raw
         for batch in batches:
-            for part in slices(batch, "text", p.slice_bytes):
-                texts = texts_of(part)
-                key = part.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for part in slices(batch, text_at, p.slice_bytes):
+                texts = texts_of(part, text_at)
+                key = pc.fill_null(column_of(part, id_at).cast(pa.int64()), -1).to_numpy(zero_copy_only=False).view(np.uint64)
                 ids, n = sample(texts, mix64(mix64(key + np.uint64(p.seed)) + GOLDEN), p)
                 ends = np.concatenate([[0], np.cumsum(n)])
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:])]
-                if keep:
+                if ids_wanted:
                     last, name = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), "ids"
                 else:
                     back = pa.array(_texts(raw, ids, ends), pa.binary())
                     last, name = pc.equal(back, texts.cast(pa.binary())), "lossless"
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), last], ["row", "n_pieces", "ids_crc32", name])
+                yield pa.RecordBatch.from_arrays([fields_of(part.column("row"), keep), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), last], ["row", "n_pieces", "ids_crc32", name])
 
     return run
 
@@ -328,34 +337,35 @@ def _decoded(model: str):
     return run
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), F.col(text_col).alias("text"))
+DIGEST = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())]
 
 
-DIGEST = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())]
+def _run(docs: DataFrame, p: Lattice, id_col: str, text_col: str, keep: list[str] | None, last: T.StructField) -> DataFrame:
+    rows, text_at = packed(docs, text_col)
+    kept = None if keep is None else [docs.columns.index(c) for c in keep]
+    fields = rows.schema["row"].dataType.fields
+    row = T.StructType(fields if kept is None else [fields[i] for i in kept])
+    run = _encoded(p, text_at, docs.columns.index(id_col), kept, last.name == "ids")
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", row), *DIGEST, last]))
 
 
-def encode(docs: DataFrame, p: Lattice, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs packed as `row`, with n_pieces, ids_crc32 (little-endian 32-bit ids) and ids (pieces of one sampled segmentation).
+def encode(docs: DataFrame, p: Lattice, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) packed as `row`, with n_pieces, ids_crc32 (little-endian 32-bit ids) and ids (pieces of one sampled segmentation).
 
     The draws of a row depend on p.seed and its id_col alone (null as -1), not on partitions or other rows; repeated
     rows get the same pieces. Null and empty texts have no pieces. Texts are taken whole; a space is put
     before each, as the model does, and a literal U+2581 is spelt in bytes, so decode() always gives the
     text back. Other columns stay in `row`; an empty table gives no rows.
     """
-    packed = _packed(docs, id_col, text_col)
-    kind = T.StructType([packed.schema["row"], *DIGEST, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return packed.mapInArrow(_encoded(p, True), kind)
+    return _run(docs, p, id_col, text_col, keep, T.StructField("ids", T.ArrayType(T.IntegerType())))
 
 
-def round_trip(docs: DataFrame, p: Lattice, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, p: Lattice, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """As encode(), but the ids are decoded where they were made: lossless tells whether they give the text back."""
-    packed = _packed(docs, id_col, text_col)
-    return packed.mapInArrow(_encoded(p, False), T.StructType([packed.schema["row"], *DIGEST, T.StructField("lossless", T.BooleanType())]))
+    return _run(docs, p, id_col, text_col, keep, T.StructField("lossless", T.BooleanType()))
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """encoded packed as `row`, with decoded: the text that the ids stand for (no ids: empty)."""
-    packed = encoded.select(F.struct(*(F.col(f"`{c}`") for c in encoded.columns if c != ids_col)).alias("row"), F.col(ids_col).alias("ids"))
-    return packed.mapInArrow(_decoded(model), T.StructType([packed.schema["row"], T.StructField("decoded", T.StringType())]))
+    rows = encoded.select(F.struct(*(F.col(f"`{c}`") for c in encoded.columns if c != ids_col)).alias("row"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(_decoded(model), T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())]))
