@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled pieces of each document."""
-    encoded = encode(docs, Lattice(public_tokenizers.path("piece_bpe_32k.model")))
+    encoded = encode(docs, Lattice(public_tokenizers.path("piece_bpe_32k.model")), keep=["doc_id", "source"])
     return encoded.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "n_pieces", "ids_crc32", "ids")
 
 
