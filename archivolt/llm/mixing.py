@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import is_small, written
+from archivolt.llm.common import small_side, written
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", i
         ),
         "plan",
     )
-    by_source = F.broadcast(plan) if is_small(plan) else plan
+    by_source = small_side(plan)
 
     def drawn(df: DataFrame) -> DataFrame:
         """Adds the pass that is taken in part, and each row's block and place in it."""
@@ -116,7 +116,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", i
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     block = written(block.withColumn("before", before).where("before < rest"), "blocks")
     edge = block.where(F.col("before") + F.col("tokens") > F.col("rest")).select("source", "block", (F.col("rest") - F.col("before")).alias("room"))
-    edges = F.broadcast(edge) if is_small(edge) else edge
+    edges = small_side(edge)
     line = Window.partitionBy("source", "block").orderBy("place", "tokens")
     filled = F.sum("tokens").over(line.rowsBetween(Window.unboundedPreceding, 0))
     cut = part.join(edges, ["source", "block"]).withColumn("filled", filled).where(F.col("filled") <= F.col("room"))
@@ -125,7 +125,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", i
         "source", "block", (F.col("before") + F.col("tokens") <= F.col("rest")).alias("all"), F.col("last.place").alias("last")
     )
     taken = written(limit.where("all or last is not null"), "taken")
-    takes = F.broadcast(taken) if is_small(taken) else taken
+    takes = small_side(taken)
 
     rows = drawn(packed.withColumn("key", F.xxhash64(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"))))
     fits = F.col("all") | (F.col("last").isNotNull() & (F.col("place") <= F.col("last")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import GOLDEN, Words, distinct_counts, is_small, mix64, shingles, slices, text_key, texts_of, uniform, written
+from archivolt.llm.common import GOLDEN, Words, discard, distinct_counts, mix64, shingles, slices, small_side, text_key, texts_of, uniform, written
 from archivolt.llm.components import connected_components
 from archivolt.llm.pivot_index import local_roots
 
@@ -117,7 +117,7 @@ def _sketched(p: Sketch):
                 ends = np.concatenate([[0], np.cumsum(np.where(has, p.bands, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(parts, p.bands, p.rows)[has].ravel()))
                 short = pa.array([x.tobytes() for x in parts.astype(np.uint8)], pa.binary())  # equal components stay equal
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("tkey"), bands, short], ["node", "tkey", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tkey"), bands, short], ["doc", "tkey", "bands", "sketch"])
 
     return run
 
@@ -304,8 +304,7 @@ def _crowded(rows: DataFrame, bands: DataFrame, sets: DataFrame, p: Sketch) -> D
     families = connected_components(close).select("node", F.col("component").alias("key"))
     families = families.join(rows.select("node", "component").distinct(), "node")
     families = written(families.join(families.groupBy("key").agg(F.count("*").alias("n")), "key"), "families")
-    members = F.broadcast(families) if is_small(families) else families
-    members = members.join(bands.select("node", "sketch"), "node").join(sets, "node")
+    members = small_side(families).join(bands.select("node", "sketch"), "node").join(sets, "node")
     return _blocks(members, p.block).mapInArrow(_linked(p), "a long, b long, similarity double")
 
 
@@ -327,6 +326,22 @@ def _node(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseOR(F.lit(-(1 << 63))))
 
 
+def _texts(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((tkey, text_class, node) of each distinct text; links a, b between the texts of documents that have several).
+
+    text_class: the least doc_id with the text. node: the same number, but where several texts have one least doc_id (rows
+    that share it) all but one get a hash of theirs, so that every text is a node of its own.
+    """
+    least = sketched.groupBy("tkey").agg(F.min("doc").alias("text_class"))
+    first = least.groupBy("text_class").agg(F.min("tkey").alias("first"))
+    node = F.when(F.col("tkey") == F.col("first"), F.col("text_class")).otherwise(F.xxhash64("tkey", "text_class"))
+    texts = written(least.join(first, "text_class").select("tkey", "text_class", node.alias("node")), "texts")
+    several = sketched.groupBy("doc").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi")).where("lo < hi").select("doc")
+    nodes = sketched.select("doc", "tkey").join(several, "doc", "left_semi").distinct().join(texts, "tkey").select("doc", "node")
+    low = nodes.groupBy("doc").agg(F.min("node").alias("a"))
+    return texts, written(nodes.join(low, "doc").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "same_doc")
+
+
 def near_duplicates(docs: DataFrame, p: Sketch = Sketch(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, text_class, compared_links, kept.
 
@@ -336,60 +351,63 @@ def near_duplicates(docs: DataFrame, p: Sketch = Sketch(), id_col: str = "doc_id
     were compared; pairs of one class that other links join already are not. kept: doc_id = class_id.
 
     Equal texts are one class whatever they hold, empty and null ones (null = empty) included; texts without a
-    word link with no other text. A text of fewer than p.width words is one shingle. Rows without a
-    doc_id stand under a negative number made from their text. Rows that share a doc_id are one
-    document: their texts' classes are one, and kept is true for each of them, or none. Other columns
-    are ignored. An empty table gives no rows.
+    word link with no other text. A text of fewer than p.width words is one shingle; very long texts are taken whole, a
+    slice of their own. Rows without a doc_id stand under a negative number made from their text. Rows that share a doc_id are
+    one document: each of their texts is banded and compared, the texts' classes are one, and kept is true for each of
+    the rows, or none. Repeated rows get the same result each. Other columns are ignored. An empty table gives no rows.
 
     No pair of equal texts is made. In each bucket only the least member is compared with the others first;
     all pairs that could still join two components follow, see _rest().
     """
-    rows = docs.select(_node(id_col, text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tkey", text_key())
-    sketched = written(rows.mapInArrow(_sketched(p), "node long, tkey binary, bands array<long>, sketch binary"), "sketched")
-    texts = written(sketched.groupBy("tkey").agg(F.min("node").alias("text_class")), "texts")
-    heads = texts.groupBy(F.col("text_class").alias("node")).agg(F.min("tkey").alias("tkey"))
-    bands = written(sketched.where(F.size("bands") > 0).join(heads, ["node", "tkey"], "left_semi").dropDuplicates(["node"]).select("node", "tkey", "bands", "sketch"), "bands")
+    rows = docs.select(_node(id_col, text_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tkey", text_key())
+    sketched = written(rows.mapInArrow(_sketched(p), "doc long, tkey binary, bands array<long>, sketch binary"), "sketched")
+    texts, same_doc = _texts(sketched)
+    head = texts.withColumnRenamed("text_class", "doc")
+    bands = written(sketched.where(F.size("bands") > 0).join(head, ["tkey", "doc"]).dropDuplicates(["tkey"]).select("node", "tkey", "doc", "bands", "sketch"), "bands")
     buckets = bands.select(F.explode("bands").alias("key"), "node")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1")
     buckets = written(buckets.join(shared, "key").select("key", "node", "rep"), "buckets")
     stars = written(buckets.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    members = written(buckets.select("node").distinct().join(bands.select("node", "tkey"), "node"), "members")
-    sets = rows.join(F.broadcast(members) if is_small(members) else members, ["node", "tkey"], "left_semi").select("node", "text")
+    members = written(buckets.select("node").distinct().join(bands.select("node", "tkey", "doc"), "node"), "members")
+    sets = rows.join(small_side(members), ["tkey", "doc"]).select("node", "text")
     sets = written(sets.mapInArrow(_shingled(p.width), "node long, keys binary, times binary").dropDuplicates(["node"]), "sets")
     links = written(_verify(stars, sets, p), "links")
-    label = connected_components(links)
+    joined = links.select("a", "b").unionByName(same_doc)
+    label = connected_components(joined)
     component = F.coalesce("component", "node").alias("component")
     mixed = _mixed(buckets.select("key", "node").join(label, "node", "left").select("key", "node", component), "mixed")
     more = _rest(mixed, stars, bands, sets, p)
     if not more.isEmpty():
         links = links.unionByName(more)
-        label = connected_components(links)
+        label = connected_components(joined.unionByName(more.select("a", "b")))
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("compared_links"))
-    by_text = (
-        texts.join(label.withColumnRenamed("node", "text_class"), "text_class", "left")
-        .join(degree.withColumnRenamed("node", "text_class"), "text_class", "left")
-        .select("tkey", "text_class", F.coalesce("component", "text_class").alias("class_id"), F.coalesce("compared_links", F.lit(0).cast("long")).alias("compared_links"))
-    )
+    by_text = texts.join(label, "node", "left").join(degree, "node", "left").withColumn("component", component)
+    if same_doc.isEmpty():
+        by_text = by_text.withColumnRenamed("component", "class_id")  # every node is a least doc_id
+    else:
+        by_text = by_text.join(by_text.groupBy("component").agg(F.min("text_class").alias("class_id")), "component")
+    by_text = written(by_text.select("tkey", "text_class", "class_id", F.coalesce("compared_links", F.lit(0).cast("long")).alias("compared_links")), "classes")
+    discard(bands, buckets, stars, members, sets, mixed)
     return (
-        sketched.select("node", "tkey")
+        sketched.select("doc", "tkey")
         .join(by_text, "tkey")
-        .select(F.col("node").alias("doc_id"), "class_id", "text_class", "compared_links", (F.col("node") == F.col("class_id")).alias("kept"))
+        .select(F.col("doc").alias("doc_id"), "class_id", "text_class", "compared_links", (F.col("doc") == F.col("class_id")).alias("kept"))
     )
 
 
 def one_of_each(docs: DataFrame, p: Sketch = Sketch(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with their own columns; of rows that share a doc_id and text one stays.
 
-    Texts are moved only for documents whose doc_id occurs more than once, and, where more than 200,000
-    documents go, to find those that do.
+    Texts are moved only for documents whose doc_id occurs more than once, and, where more documents go than
+    are broadcast, to find those that do. Columns of docs keep their names, whatever they are; an empty table gives no rows.
     """
     found = written(near_duplicates(docs, p, id_col, text_col).select("doc_id", "kept"), "kept")
     lost = written(found.where("not kept").select("doc_id").distinct(), "lost")
     twice = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
     rows = docs.select(_node(id_col, text_col).alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = rows.join(F.broadcast(lost) if is_small(lost) else lost, "doc_id", "left_anti")
+    rows = rows.join(small_side(lost), "doc_id", "left_anti")
     if not twice.isEmpty():
-        twice = F.broadcast(twice) if is_small(twice) else twice
+        twice = small_side(twice)
         again = rows.join(twice, "doc_id", "left_semi").withColumn("text", F.col(f"row.`{text_col}`")).dropDuplicates(["doc_id", "text"])
         rows = rows.join(twice, "doc_id", "left_anti").unionByName(again.select("doc_id", "row"))
     return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -41,6 +41,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_chain_of_rising_numbers_takes_few_rounds(spark, monkeypatch):
+    from archivolt.llm import components
+
+    rounds, contracted = [], components.contracted
+    monkeypatch.setattr(components, "contracted", lambda edges, step: rounds.append(step) or contracted(edges, step))
+    chain = spark.range(1000).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.range(400).selectExpr("5000L AS a", "5200 + id AS b"))
+    got = {x.node: x.component for x in connected_components(chain).collect()}
+    assert len(rounds) <= 16 and all(got[i] == 0 for i in range(1001)) and all(got[5200 + i] == 5000 for i in range(400))
+
+
 # near-duplicates
 
 
@@ -158,6 +168,39 @@ def test_an_original_in_the_middle_holds_its_copies_together(spark, edited):
         assert len(got) == 1001 and all(got[i] == got[500] for _, i in links)
 
 
+def test_texts_that_share_a_doc_id_are_all_compared(spark):
+    r = random.Random(3)
+    a, b, c = varied(r), varied(r), varied(r)
+    near = lambda t, k: " ".join([*t[:60], f"edit{k}", *t[61:]])
+    plain = [" ".join(x) for x in (a, b, c)]
+    rows = [(7, plain[0]), (7, plain[1]), (8, near(a, 8)), (9, near(b, 9)), (3, plain[2]), (12, near(c, 12)), (7, plain[0]), (20, " ".join(varied(r))), (20, near(c, 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.class_id) for x in probminhash.near_duplicates(df).collect()}
+    assert got == {(7, 7), (8, 7), (9, 7), (3, 3), (12, 3), (20, 3)}
+    assert sorted(x.doc_id for x in probminhash.one_of_each(df).collect()) == [3, 7, 7]
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(4)
+    long = varied(r, 150_000)
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:70_000], "changed", *long[70_001:]])), (3, " ".join(varied(r, 150_000))), (4, "x" * 3_000_000)]
+    got = {x.doc_id: x.class_id for x in probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_boilerplate_that_thousands_share(spark):
+    """5,000 texts that share a passage, not enough to link them, and ten near copies among them: crowded buckets, recall measured."""
+    r = random.Random(6)
+    passage = varied(r, 100)
+    texts = [[*passage, *varied(r, 45)] for _ in range(5000)]
+    for k in range(10):
+        texts[400 * k + 300] = [*texts[400 * k + 7][:120], f"edit{k}", *texts[400 * k + 7][121:]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.class_id for x in probminhash.near_duplicates(df, probminhash.Sketch(rows=2, bands=20)).collect()}
+    linked = {i: c for i, c in got.items() if i != c}
+    assert linked == {400 * k + 300: 400 * k + 7 for k in range(10)}
+
+
 def test_links_are_named_as_those_compared(copies):
     df, _ = copies
     assert probminhash.near_duplicates(df.limit(0)).columns == ["doc_id", "class_id", "text_class", "compared_links", "kept"]
@@ -203,6 +246,44 @@ def test_vectors_match_brute_force(spark, size):
     assert all(got[i] == (0, i, True) for i in range(2000, 2007)) and len(got) == len(rows) + len(odd)
 
 
+def test_vectors_that_share_an_id_are_vectors_of_their_own(spark):
+    r = np.random.default_rng(1)
+    a, b = r.standard_normal((2, 64))
+    rows = [(5, a.tolist()), (5, b.tolist()), (6, (a + 0.01).tolist()), (8, (b + 0.01).tolist()), (9, b.tolist()), (9, b.tolist()), (None, a.tolist())]
+    got = sorted((x.vec_id or 0, x.n_links, x.component_id) for x in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    none = got[0][0]
+    assert none < 0 and got == sorted([(none, 2, none), (5, 2, none), (5, 2, 5), (6, 2, none), (8, 2, 5), (9, 2, 5), (9, 2, 5)])
+
+
+def test_clashing_columns_of_vectors(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, v.tolist(), 1, 2, 3) for i, v in enumerate(r.standard_normal((30, 8)))]
+    got = pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int, node long, key long"))
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"] and got.count() == 30
+
+
+def test_hot_lists_are_inverted_once_more():
+    """Rows of a hot list grow with its vectors, not with their square, and every pair that shares four pivots meets once."""
+    p, r = pivot_index.PivotIndex(), np.random.default_rng(3)
+    for n in (1000, 4000, 16000):
+        lists = np.sort(np.array([[0, 1, *r.choice(np.arange(2, 256), 6, replace=False)] for _ in range(n)]), axis=1)
+        row, key = pivot_index.refined(np.full(n, 0 * 256 + 1), lists, p)
+        assert len(row) <= 15 * n and len(np.unique(key)) > 1000
+    lists = np.sort(np.array([r.choice(14, 8, replace=False) for _ in range(60)]), axis=1)
+    met = {}
+    for i, j in combinations(range(14), 2):
+        held = np.flatnonzero((lists[:, :6] == i).any(axis=1) & (lists[:, :6] == j).any(axis=1))
+        row, key = pivot_index.refined(np.full(len(held), i * 256 + j), lists[held], p)
+        for k in np.unique(key):
+            own = held[row[key == k]]
+            vectors = np.ones((len(own), 3))
+            found = pivot_index.compare(int(k), 0, 0, own, np.ones(len(own), int), np.zeros(len(own), int), lists[own], vectors, p)
+            for node, links in zip(*found[:2]) if found else ():
+                met[node] = met.get(node, 0) + links
+    share = [[len(np.intersect1d(a, b)) >= 4 for b in lists] for a in lists]
+    assert all(met.get(i, 0) == sum(x) - 1 for i, x in enumerate(share))
+
+
 def test_no_vectors(spark):
     assert pivot_index.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -227,16 +308,41 @@ def test_the_exponent_meets_its_target(spark, sources):
     assert mixing.exponent(table.limit(1), mixing.Mix()) == 1.0 and mixing.exponent(table.limit(0), mixing.Mix()) == 1.0
 
 
+def slow_quotas(tokens, entropy=0.95, most=2.0):
+    """Tokens of each source in the mixture, by plain bisection in numpy."""
+    t = np.array(list(tokens.values()), float)
+
+    def spread(a):
+        w = t**a / (t**a).sum()
+        return -(w * np.log(w)).sum()
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if spread(middle) >= entropy * math.log(len(t)) else (low, middle)
+    a = max(low, 1 - math.log(most) / math.log(t.max() / t.min()))
+    w = t**a / (t**a).sum()
+    budget = (t / w).max()
+    return dict(zip(tokens, np.minimum(w * budget, most * t)))
+
+
 def test_mixtures(spark, sources):
     mix = mixing.Mix(block_tokens=500)
     got = mixing.mix_sources(sources, mix).select("row.doc_id", "source", "tokens", "pass", "block").toPandas()
-    table = sources.groupBy(F.coalesce("source", F.lit("\x00")).alias("source")).agg(F.sum(mixing.tokens(F.col("text"))).alias("tokens"))
-    want = {r.source: (r.tokens, r.quota) for r in mixing.weights(table, mix).collect()}
-    for source, g in got.groupby("source"):
-        total, quota = want[source]
-        assert quota - 9 - 1 <= g.tokens.sum() <= quota
+    total = {}
+    for r in sources.collect():
+        total[r.source or "\x00"] = total.get(r.source or "\x00", 0) + max(1, -(-len((r.text or "").encode()) // 4))
+    for source, quota in slow_quotas(total).items():
+        g = got[got.source == source]
+        assert quota * 0.9999 - 10 - 1 <= g.tokens.sum() <= quota * 1.0001 + 1
+        whole = int(round(quota)) // total[source]
         for k, one in g.groupby("pass"):
-            assert one.tokens.sum() == total if k < quota // total else one.tokens.sum() <= total
+            assert one.tokens.sum() == total[source] if k < whole else one.tokens.sum() <= total[source]
+        if whole in set(g["pass"]):  # the part of a pass is whole blocks and a part of one
+            draws = g[g["pass"] == whole].groupby("block").tokens.sum()
+            again = mixing.mix_sources(sources, mixing.Mix(block_tokens=500, budget=10**9, max_repeats=float(whole + 1))).where(F.col("source") == source).where(F.col("pass") == whole)
+            full = {r.block: r.t for r in again.groupBy("block").agg(F.sum("tokens").alias("t")).collect()}
+            assert sum(draws[b] < full[b] for b in draws.index) <= 1
     assert set(got[got["pass"] == 0].doc_id) == {r.doc_id for r in sources.collect()}  # nothing is dropped
     again = mixing.mix_sources(sources.repartition(11), mix).select("row.doc_id", "source", "tokens", "pass", "block").toPandas()
     key = ["doc_id", "pass", "block"]
@@ -277,3 +383,16 @@ def test_the_pipeline(spark):
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()} and after.where("size(ids) <> n_pieces").isEmpty()
     run = corpus_pipeline.run(spark, SF)
     assert sorted((r.doc_id, r.ids_crc32) for r in run.collect()) == sorted((r.doc_id, r.ids_crc32) for r in after.collect())
+
+
+def test_the_pipeline_takes_odd_rows(spark, tmp_path):
+    good = lambda i: " ".join(f"word{i}x{j}" for j in range(80))
+    rows = [(i, good(i), "en", f"s{i % 3}", 0) for i in range(30)] + [(30, good(3), "en", "s0", 0), (31, None, None, None, None), (None, good(77), "de", None, 1), (32, "", "fr", "s1", 0), (5, good(5), "en", "s2", 0), (33, good(40) + " password=abcdefgh12", "en", "s1", 3)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, key long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in got}
+    assert ids >= {*range(30), 33} and None in ids and not ids & {30, 31, 32}
+    empty = f"{tmp_path}/none"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
