@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivolt.llm.common import is_small, written
+from archivolt.llm.common import small_side, written
 from archivolt.llm.components import connected_components
 
 
@@ -23,9 +23,11 @@ class PivotIndex:
     dimensions shares 4 of 8 in 97.5 % of cases, one at 0.975 in all but 1 of 10,000 (measured).
 
     Lists are inverted by pairs of pivots: of lists that share s of n, the two first shared pivots in the fixed
-    order of pivots lie within the first n - s + 2 of each, so only pairs of those are posted. There are at most per_dimension
-    pivots for each dimension, as more of them would cut a space of few dimensions finer than the links are wide.
-    block: vectors of one list that are compared with each other at once.
+    order of pivots lie within the first n - s + 2 of each, so only pairs of those are posted. An inverted list of more than
+    `block` vectors is inverted once more, by the next two shared pivots, so that only vectors that share four meet; that makes
+    15 rows of a vector at most, however long the list is. There are at most per_dimension pivots for each dimension, as more
+    of them would cut a space of few dimensions finer than the links are wide. What is longer than `block` then is compared
+    in pairs of blocks: nearly all of its pairs are candidates.
     """
 
     threshold: float = 0.95
@@ -76,10 +78,16 @@ def masks(lists: np.ndarray, pivots: int) -> np.ndarray:
 
 
 def _stacked(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _posted(pivots: np.ndarray, p: PivotIndex):
+def _rows_of(column: pa.Array, kind) -> np.ndarray:
+    """Binary values of one length as rows of an array."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _posted(pivots: np.ndarray, p: PivotIndex, whole: bool):
+    """Rows of the inverted lists of pairs: key, and if whole: node, copies, list (pivots in their fixed order), v."""
     head = p.nearest - p.shared + 2
     pairs = [(i, j) for i in range(head) for j in range(i + 1, head)]
 
@@ -87,18 +95,48 @@ def _posted(pivots: np.ndarray, p: PivotIndex):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                vectors = unit(_stacked(part.column("v")))
-                lists = np.sort(nearest_pivots(vectors, pivots, p.nearest), axis=1)  # in the pivots' fixed order
-                key = np.stack([lists[:, i] * p.pivots + lists[:, j] for i, j in pairs], axis=1).ravel()
-                row = np.repeat(np.arange(len(vectors)), len(pairs))
-                bits = pa.array([m.tobytes() for m in masks(lists, p.pivots)], pa.binary())
-                raw = pa.array([v.tobytes() for v in vectors], pa.binary())
+                vectors = _stacked(part.column("v"))
+                lists = np.sort(nearest_pivots(unit(vectors.astype(np.float64)), pivots, p.nearest), axis=1)
+                key = pa.array(np.stack([lists[:, i] * p.pivots + lists[:, j] for i, j in pairs], axis=1).ravel())
+                if not whole:
+                    yield pa.RecordBatch.from_arrays([key], ["key"])
+                    continue
+                take = pa.array(np.repeat(np.arange(len(vectors)), len(pairs)))
+                near = pa.array([x.tobytes() for x in lists.astype(np.uint8)], pa.binary()).take(take)
+                raw = pa.array([v.tobytes() for v in vectors], pa.binary()).take(take)
+                yield pa.RecordBatch.from_arrays([key, part.column("node").take(take), part.column("copies").take(take), near, raw], ["key", "node", "copies", "list", "v"])
+
+    return run
+
+
+def refined(key: np.ndarray, lists: np.ndarray, p: PivotIndex) -> tuple[np.ndarray, np.ndarray]:
+    """(row, new key) of each row of a pair's list in the lists of four pivots: that pair and two later ones that may be the
+    third and fourth shared. Keys are numbers to the base p.pivots under a leading 1."""
+    second = (lists == (key % p.pivots)[:, None]).argmax(axis=1)
+    rows, keys = [], []
+    for a in range(p.nearest - p.shared + 3):
+        for b in range(a + 1, p.nearest - p.shared + 4):
+            row = np.flatnonzero(second < a)
+            rows.append(row)
+            keys.append(((p.pivots * p.pivots + key[row]) * p.pivots + lists[row, a]) * p.pivots + lists[row, b])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _refined(p: PivotIndex):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                row, key = refined(part.column("key").to_numpy(), _rows_of(part.column("list"), np.uint8).astype(np.int64), p)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), part.column("node").take(take), part.column("copies").take(take), bits.take(take), raw.take(take)], ["key", "node", "copies", "bits", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(part.column(c).take(take) for c in POSTING[1:])], POSTING)
 
     return run
 
 
+POSTING = ["key", "node", "copies", "list", "v"]
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n things, the least one it is linked with through (a, b)."""
     root = np.arange(n)
@@ -112,14 +150,14 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def compare(key: int, i: int, j: int, node: np.ndarray, copies: np.ndarray, block: np.ndarray, bits: np.ndarray, vectors: np.ndarray, p: PivotIndex):
+def compare(key: int, i: int, j: int, node: np.ndarray, copies: np.ndarray, block: np.ndarray, lists: np.ndarray, vectors: np.ndarray, p: PivotIndex):
     """Links of one list's blocks i and j that belong to this list: (nodes, links found, a linked node of least number)."""
-    n = len(node)
+    n, bits, vectors = len(node), masks(lists, p.pivots), unit(vectors.astype(np.float64))
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    second = key % p.pivots
+    last, of_key = key % p.pivots, 4 if key >= p.pivots**2 else 2
     low = np.zeros(bits.shape[1], np.uint64)
     for w in range(len(low)):
-        low[w] = (1 << min(64, max(0, second + 1 - 64 * w))) - 1
+        low[w] = (1 << min(64, max(0, last + 1 - 64 * w))) - 1
     found_a, found_b = [], []
     for start in range(0, len(left), 256):
         rows = left[start : start + 256]
@@ -128,7 +166,7 @@ def compare(key: int, i: int, j: int, node: np.ndarray, copies: np.ndarray, bloc
             both = bits[rows, w][:, None] & bits[right, w][None, :]
             all_bits += np.bitwise_count(both)
             early += np.bitwise_count(both & low[w])
-        ok = (all_bits >= p.shared) & (early == 2)  # the pair's first two shared pivots are this list's
+        ok = (all_bits >= p.shared) & (early == of_key)  # the pair's first shared pivots are this list's
         if i == j:
             ok &= rows[:, None] < right[None, :]
         x, y = np.nonzero(ok)
@@ -148,15 +186,13 @@ def compare(key: int, i: int, j: int, node: np.ndarray, copies: np.ndarray, bloc
     return node[some], links[some].astype(np.int64), node[root[some]]
 
 
-def _compared(p: PivotIndex):
-    words = -(-p.pivots // 64)
-
+def _compared(p: PivotIndex, kind):
     def whole(rows: pa.Table):
         if rows.num_rows < 2:
             return None
         get = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
-        read = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(rows.num_rows, -1)
-        return compare(int(rows.column("key")[0].as_py()), int(rows.column("i")[0].as_py()), int(rows.column("j")[0].as_py()), get("node"), get("copies"), get("part"), read("bits", np.uint64).reshape(-1, words), read("v", np.float64), p)
+        key, i, j = (int(rows.column(c)[0].as_py()) for c in ("key", "i", "j"))
+        return compare(key, i, j, get("node"), get("copies"), get("part"), _rows_of(rows.column("list"), np.uint8).astype(np.int64), _rows_of(rows.column("v"), kind), p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last group so far; a group has two blocks of rows at most
@@ -193,46 +229,56 @@ def near_vectors(rows: DataFrame, p: PivotIndex = PivotIndex(), id_col: str = "v
 
     A link is a cosine of at least p.threshold, in double precision, between vectors of one length that the index
     brings together; equal vectors always link. Unusable vectors (null, empty, zero, null or non-finite components) link
-    with nothing. Rows that share vec_id and vector are one vector; rows without vec_id stand under
-    a negative number made from the vector. Other columns are ignored; an empty table gives no rows.
+    with nothing. Rows that share vec_id and vector are one vector; rows that share only vec_id are vectors of their own, each
+    with its links. Rows without vec_id stand under a negative number made from the vector. Other columns are ignored, whatever
+    their names; an empty table gives no rows.
 
-    Equal vectors are one entry with a count. A hot list is cut into blocks, each pair of blocks a group of its
-    own of bounded size; a group returns counts and one link per vector, never its pairs. The driver holds
+    Equal vectors are one entry with a count. Hot lists are inverted once more and then cut into blocks, each pair of blocks a
+    group of its own of bounded size; a group returns counts and one link per vector, never its pairs. The driver holds
     p.sample vectors at most for each length of vector.
     """
     whole = p
-    vector = F.col(vector_col).cast("array<double>")
-    node = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(vector_col).bitwiseOR(F.lit(-(1 << 63))))
-    rows = rows.select(node.alias("node"), vector.alias("v")).withColumn("vkey", F.md5(F.transform("v", lambda x: F.coalesce(x.cast("string"), F.lit("null"))).cast("string").cast("binary")))
-    distinct = rows.where(usable(F.col("v"))).groupBy("vkey").agg(F.min("node").alias("head"), F.countDistinct("node").alias("copies"))
-    distinct = written(distinct, "vectors")
-    heads = rows.where(usable(F.col("v"))).select("vkey", F.col("node").alias("head"), "v").join(distinct, ["vkey", "head"]).dropDuplicates(["head"])
-    heads = written(heads.select(F.col("head").alias("node"), "copies", "v"), "heads")
-    found = None
-    for (size,) in heads.select(F.size("v")).distinct().orderBy(F.size("v")).collect():
-        own = heads.where(F.size("v") == size)
+    if whole.pivots > 256 or whole.shared < 4:
+        raise ValueError("pivots: 256 at most; shared: 4 at least")
+    single = isinstance(rows.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = np.float32 if single else np.float64
+    vector = F.col(f"`{vector_col}`") if single else F.col(f"`{vector_col}`").cast("array<double>")
+    number = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(vector).bitwiseOR(F.lit(-(1 << 63))))
+    rows = rows.select(number.alias("id"), vector.alias("v"))
+    good = rows.where(usable(F.col("v")))
+    entries = good.groupBy("v").agg(F.min("id").alias("head"), F.countDistinct("id").alias("copies")).withColumn("vkey", F.xxhash64("v"))
+    entries = written(entries, "vectors")
+    first = entries.groupBy("head").agg(F.min("vkey").alias("first"))  # of several vectors with one least id, the others get another number
+    node = F.when(F.col("vkey") == F.col("first"), F.col("head")).otherwise(F.xxhash64("vkey", "head"))
+    entries = written(entries.join(first, "head").select(node.alias("node"), "head", "copies", "v"), "entries")
+    found = []
+    for (size,) in entries.select(F.size("v")).distinct().orderBy(F.size("v")).collect():
+        own = entries.where(F.size("v") == size).select("node", "copies", "v")
         p = replace(whole, pivots=max(whole.nearest, min(whole.pivots, whole.per_dimension * size)))
         sample = own.select("v", F.xxhash64("node").alias("h")).orderBy("h").limit(p.sample).collect()
         pivots = fit_pivots(unit(np.array([r.v for r in sample], np.float64)), p)
-        post = own.mapInArrow(_posted(pivots, p), "key int, node long, copies long, bits binary, v binary")
-        post = written(post, "postings")
-        big = written(post.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > p.block).select("key", F.ceil(F.col("n") / p.block).cast("int").alias("parts")), "big")
-        post = post.join(F.broadcast(big) if is_small(big) else big, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        post = post.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        post = post.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "copies", "bits", "v")
-        groups = post.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        links = written(groups.mapInArrow(_compared(p), "node long, links long, root long"), "links")
-        found = links if found is None else found.unionByName(links)
-    if found is None:
-        return rows.select(F.col("node").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("node").alias("component_id"), F.lit(True).alias("kept"))
-    label = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    by_key = (
-        distinct.join(label.withColumnRenamed("node", "head"), "head", "left")
-        .join(degree.withColumnRenamed("node", "head"), "head", "left")
-        .select("vkey", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
-    )
-    out = rows.withColumn("ok", usable(F.col("v"))).drop("v").join(by_key, "vkey", "left")
-    component = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("node"))
-    links = F.when(F.col("ok"), F.col("n_links")).otherwise(F.lit(0)).cast("long")
-    return out.select(F.col("node").alias("vec_id"), links.alias("n_links"), component.alias("component_id"), (F.col("node") == component).alias("kept"))
+        counts = own.mapInArrow(_posted(pivots, p, False), "key long").groupBy("key").agg(F.count("*").alias("n"))
+        hot = F.broadcast(written(counts.where(F.col("n") > p.block).select("key"), "hot"))  # of p.pivots^2 / 2 keys at most
+        kinds = "key long, node long, copies long, list binary, v binary"
+        post = own.mapInArrow(_posted(pivots, p, True), kinds)
+        deep = written(post.join(hot, "key", "left_semi").select(POSTING).mapInArrow(_refined(p), kinds), "deep")
+        parts = deep.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > p.block).select("key", F.ceil(F.col("n") / p.block).cast("int").alias("parts"))
+        deep = deep.join(small_side(written(parts, "parts")), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        deep = deep.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        deep = deep.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *POSTING[1:])
+        plain = post.join(hot, "key", "left_anti").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), *POSTING[1:])
+        groups = plain.unionByName(deep).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        found.append(written(groups.mapInArrow(_compared(p, kind), "node long, links long, root long"), "links"))
+    if not found:
+        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    links = reduce(DataFrame.unionByName, found)
+    label = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    by_node = entries.select("node", "head", "copies").join(label, "node", "left").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    by_node = by_node.withColumn("component", F.coalesce("component", "node"))
+    least = by_node.groupBy("component").agg(F.min("head").alias("component_id"))
+    by_node = written(by_node.join(least, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "by_node")
+    known = entries.select("node", F.col("v").alias("same")).join(by_node, "node").drop("node")
+    linked = good.join(known, F.col("v") == F.col("same")).select("id", "n_links", "component_id")
+    alone = rows.where(~usable(F.col("v"))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
