@@ -28,11 +28,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
 
 
 def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = round_trip(documents(spark, sf_dir).select("doc_id", "text"), Lattice(PIECES))
+    found = round_trip(documents(spark, sf_dir).select("doc_id", "text"), Lattice(PIECES), keep=["doc_id"])
     return found.select("row.doc_id", "n_pieces", "ids_crc32", "lossless")
 
 
@@ -50,7 +50,7 @@ def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = host_quality(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    found = host_quality(documents(spark, sf_dir).select("doc_id", "source", "text"), keep=["doc_id", "source"])
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("row.source").alias("host"), "verdict")
 
 
