@@ -5,34 +5,84 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivolt.llm.common import GOLDEN, Words, mix64, slices, texts_of
-
-#: Fixed texts: license names and the wording that stands for them.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License", "Licensed under the BSD 2-Clause License"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3"],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain"],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Licensed under CC0 1.0 Universal"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+from archivolt.llm.common import GOLDEN, Words, mix64, packed, slices, texts_of
+
+#: Fixed texts: wording of licenses, bodies where they are short, notices and unmistakable paragraphs where they are long.
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version."
+GNU_TWO = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation; either version {n} of the License, or (at your option) any later version."
+TEXTS = {
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ],
+    "MIT": [f"{MIT_GRANT} {MIT_WARRANTY}", MIT_GRANT, MIT_WARRANTY],
+    "BSD": [BSD_TWO, BSD_WARRANTY, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-2-Clause": [f"{BSD_TWO} {BSD_WARRANTY}"],
+    "BSD-3-Clause": [f"{BSD_TWO} {BSD_THIRD} {BSD_WARRANTY}", BSD_THIRD],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"],
+    "GPL-2.0": [GNU_TWO.format(kind="General Public License", n=2), "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty"],
+    "GPL-3.0": [GNU.format(kind="General Public License", n=3), "The GNU General Public License is a free, copyleft license for software and other kinds of works."],
+    "LGPL-2.1": [GNU_TWO.format(kind="Lesser General Public License", n="2.1")],
+    "LGPL-3.0": [GNU.format(kind="Lesser General Public License", n=3)],
+    "AGPL-3.0": [GNU.format(kind="Affero General Public License", n=3), "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
     "reserved": ["All rights reserved"],
 }
+#: Fixed names: what lines call the licenses.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"],
+    "MIT": ["MIT License", "MIT license terms", "MIT"],
+    "BSD": ["BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause"],
+    "ISC": ["ISC License", "ISC"],
+    "Zlib": ["zlib License", "Zlib"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "BSL-1.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPL-2.0", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPL-3.0", "GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPL-2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPL-3.0"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPL-3.0"],
+    "Apache": ["Apache License"],
+    "GPL": ["GNU General Public License", "GNU GPL"],
+    "LGPL": ["GNU Lesser General Public License", "GNU LGPL"],
+    "AGPL": ["GNU Affero General Public License", "GNU AGPL"],
+    "MPL": ["Mozilla Public License"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL-2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "EPL-2.0"],
+    "Unlicense": ["Unlicense"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0-1.0"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC-BY-4.0"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"],
+}
+#: How lines put a name.
+LEADS = ["licensed under", "licensed under the", "licensed under a", "released under the", "distributed under the", "available under the", "under the terms of the", "SPDX-License-Identifier:"]
+TEMPLATES = {k: TEXTS.get(k, []) + [f"{lead} {name}" for name in NAMES.get(k, []) for lead in LEADS] for k in [*TEXTS, *(k for k in NAMES if k not in TEXTS)]}
 
 
 @dataclass(frozen=True)
@@ -52,8 +102,18 @@ class LicenseScan:
     containment: float = 0.8
 
 
-def word_hashes(words: Words) -> np.ndarray:
-    return words.lower_hashes()
+_PART = re.compile(r"[^\W_]+")
+
+
+def word_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of letters or digits in lower case, the word that holds it), so that marks don't matter."""
+    found = [_PART.findall(w) for w in pc.utf8_lower(words.dictionary).to_numpy(zero_copy_only=False).tolist()]
+    number = np.fromiter(map(len, found), np.int64, len(found))
+    known = np.fromiter((xxhash.xxh3_64_intdigest(x) for parts in found for x in parts), np.uint64, int(number.sum()))
+    many = number[words.codes]
+    first = (np.cumsum(number) - number)[words.codes]
+    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    return known[at], np.repeat(np.arange(len(words.codes)), many)
 
 
 def shingle_keys(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +135,7 @@ class Templates:
         self.names, self.sets, sizes = [], [], []
         for name, texts in templates.items():
             for text in texts:
-                words = Words(pa.array([text]))
-                h = word_hashes(words)
-                h = h[h != 0]
+                h = word_hashes(Words(pa.array([text])))[0]
                 keys = np.unique(shingle_keys(h, np.zeros(len(h), np.int64), p.width)[1])
                 if len(keys):
                     size = p.base
@@ -128,27 +186,32 @@ def candidates(key: np.ndarray, doc: np.ndarray, known: Templates, p: LicenseSca
                 continue
             flags, values, which = known.bands[size, k]
             both = np.where(pairs[i], np.minimum(low, np.append(low[1:], low[-1])), low)
-            for w in np.flatnonzero(flags[(both >> np.uint64(48)).astype(np.int64)]).tolist():
-                a, b = np.searchsorted(values, both[w], "left"), np.searchsorted(values, both[w], "right")
+            some = np.flatnonzero(flags[(both >> np.uint64(48)).astype(np.int64)])
+            a, b = values.searchsorted(both[some], "left"), values.searchsorted(both[some], "right")
+            for j in np.flatnonzero(a < b).tolist():
+                w = int(some[j])
                 end = w + 1 + bool(pairs[i][w])
                 stop = int(head[end]) if end < len(head) else len(key)
-                out.update((int(t), int(head[w]), stop) for t in which[a:b])
+                out.update((int(t), int(head[w]), stop) for t in which[a[j] : b[j]])
     return out
 
 
-def license_spans(texts: pa.Array, known: Templates, p: LicenseScan) -> list[list[tuple[str, int, int, float]]]:
-    """Per text (license, start, end, containment) in code points. Where matches overlap, the fullest stays, then the longest."""
+def license_spans(texts: pa.Array, known: Templates, p: LicenseScan, retrieve=candidates) -> list[list[tuple[str, int, int, float]]]:
+    """Per text (license, start, end, containment) in code points. Where matches overlap, the longest stays, then the fullest.
+
+    retrieve: gives the (template, first shingle, end shingle) to verify.
+    """
     words = Words(texts)
-    hashes = word_hashes(words)
-    real = np.flatnonzero(hashes != 0)  # words of punctuation alone don't count
-    hashes, doc = hashes[real], words.doc[real]
+    hashes, real = word_hashes(words)
+    doc = words.doc[real]
     at, key = shingle_keys(hashes, doc, p.width)
     of = doc[at]
     found: dict[int, list[tuple[float, int, int, str]]] = {}
-    for t, a, b in candidates(key, of, known, p):
+    for t, a, b in retrieve(key, of, known, p):
         slack = len(known.sets[t])  # a changed copy may reach past the window
         a0, b0 = max(a - slack, 0), min(b + slack, len(key))
-        inside = np.arange(a0, b0)[(of[a0:b0] == of[a]) & np.isin(key[a0:b0], known.sets[t])]
+        own = known.sets[t]
+        inside = a0 + np.flatnonzero((own[np.minimum(own.searchsorted(key[a0:b0]), len(own) - 1)] == key[a0:b0]) & (of[a0:b0] == of[a]))
         if not len(inside):
             continue
         # the densest run: hits no further apart than the template is long
@@ -162,7 +225,7 @@ def license_spans(texts: pa.Array, known: Templates, p: LicenseScan) -> list[lis
         places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[d].as_py())]
         base = int(words.starts[d])
         taken: list[tuple[int, int]] = []
-        for part, first, last, name in sorted(set(hits), key=lambda h: (-h[0], h[1] - h[2], h[3], h[1])):
+        for part, first, last, name in sorted(set(hits), key=lambda h: (h[1] - h[2], -h[0], h[3], h[1])):
             if all(last < a or first > b for a, b in taken):
                 taken.append((first, last))
                 out[d].append((name, places[first - base][0], places[last - base][1], part))
@@ -170,12 +233,20 @@ def license_spans(texts: pa.Array, known: Templates, p: LicenseScan) -> list[lis
     return out
 
 
-def _scanned(templates: dict[str, list[str]], p: LicenseScan):
+@cache
+def known_templates(templates: tuple[tuple[str, tuple[str, ...]], ...], p: LicenseScan) -> Templates:
+    """Made once in a Python worker."""
+    return Templates({name: list(texts) for name, texts in templates}, p)
+
+
+def _scanned(templates: dict[str, list[str]], p: LicenseScan, text_at: int):
+    fixed = tuple((name, tuple(texts)) for name, texts in templates.items())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(templates, p)
+        known = known_templates(fixed, p)
         for batch in batches:
-            for part in slices(batch, "text"):
-                spans = license_spans(texts_of(part), known, p)
+            for part in slices(batch, text_at):
+                spans = license_spans(texts_of(part, text_at), known, p)
                 names = [",".join(sorted({s[0] for s in x})) for x in spans]
                 told = [",".join(f"{n}:{a}:{b}" for n, a, b, _ in x) for x in spans]
                 least = [min((s[3] for s in x), default=None) for x in spans]
@@ -188,10 +259,10 @@ def scan_licenses(docs: DataFrame, p: LicenseScan = LicenseScan(), text_col: str
     """docs packed as `row`, with licenses (names, sorted, comma-joined), spans (name:start:end in code points, by start) and
     containment (the least of the spans; null where there are none).
 
-    Words are compared in lower case without outer punctuation. Texts are taken whole, over all their
-    windows; null, empty and shorter texts have no license. Of matches that overlap the fullest is told. Other columns
-    stay in `row`; an empty table gives no rows.
+    Words are runs of letters and digits in lower case. Texts are taken whole, however long, over all their
+    windows; null, empty and shorter texts have no license. Of matches that overlap the longest is told. Repeated rows are scanned
+    each. Other columns stay in `row`, whatever their names; an empty table gives no rows.
     """
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    kind = T.StructType([packed.schema["row"], T.StructField("licenses", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("containment", T.DoubleType())])
-    return packed.mapInArrow(_scanned(templates or TEMPLATES, p), kind)
+    rows, at = packed(docs, text_col)
+    kind = T.StructType([rows.schema["row"], T.StructField("licenses", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("containment", T.DoubleType())])
+    return rows.mapInArrow(_scanned(templates or TEMPLATES, p, at), kind)
