@@ -18,10 +18,10 @@ def file_key(path: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Binary units with one decimal; plain bytes below 1024."""
+    """Binary units with one decimal, halves rounded to even; plain bytes below 1024."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB", "EiB"), 1):
-        out = F.when(n >= 1 << (10 * i), F.concat(F.format_string("%.1f", n / float(1 << (10 * i))), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1 << (10 * i), F.concat(F.format_string("%.1f", F.bround(n / float(1 << (10 * i)), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -74,7 +74,7 @@ def be_int(raw: Column, at: int, n: int) -> Column:
 def mega_and_bytes(mega: Column, rest: Column) -> Column:
     """Millions and a rest as one number, at most 2^64 - 1; null if either is missing."""
     total = mega.cast("decimal(38,0)") * F.lit(1_000_000).cast("decimal(7,0)") + rest.cast("decimal(38,0)")
-    return F.least(total, F.lit(str(U64)).cast("decimal(38,0)")).cast("decimal(20,0)")
+    return F.when(total.isNotNull(), F.least(total, F.lit(str(U64)).cast("decimal(38,0)"))).cast("decimal(20,0)")  # least() passes nulls over
 
 
 def metadata_reserve(entries: Column, size: Column, chunk: int = 4 << 20) -> Column:

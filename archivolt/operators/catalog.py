@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivolt.operators.ordered import last_wins
+
 
 def in_subtree(path: Column, prefix: str) -> Column:
     """Whether a path is the prefix or below it; slashes at either end of the prefix don't count, an empty one takes all."""
@@ -12,6 +14,28 @@ def in_subtree(path: Column, prefix: str) -> Column:
     return F.lit(True) if not p else (path == p) | path.startswith(p + "/")
 
 
+def clean_path(path: Column) -> Column:
+    """A path without empty and . components, and with .. taken with the component before it; a leading slash stays."""
+    rooted = path.startswith("/")
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        up = F.when(last.isNotNull() & (last != ".."), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(rooted, done).otherwise(F.array_append(done, ".."))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.array_append(done, part))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    text = F.array_join(parts, "/")
+    return F.when(rooted, F.concat(F.lit("/"), text)).otherwise(F.when(text == "", ".").otherwise(text))
+
+
+def within(path: Column, folder: Column) -> Column:
+    """Whether a path is a folder or inside it, as written: both absolute or both relative, cleaned first. Unlike in_subtree(), a
+    leading slash counts. Nothing relative is known to lie in a folder that begins with .. unless it begins so too."""
+    p, f = clean_path(path), clean_path(folder)
+    below = F.when(f == "/", p.startswith("/")).when(f == ".", ~p.startswith("/") & (p != "..") & ~p.startswith("../")).otherwise((p == f) | (p.startswith(F.concat(f, F.lit("/"))) & ~F.substring(p, F.length(f) + 2, F.lit(2)).eqNullSafe("..")))
+    return F.coalesce(below, F.lit(False))
+
+
 def search(entries: DataFrame, text: str) -> DataFrame:
     """Entries whose path holds the text or whose SHA-256 begins with it, whatever the case; % and _ are ordinary."""
     q = text.lower()
@@ -107,11 +131,14 @@ def find_tape(uuid: str | None, entries: DataFrame, tapes: DataFrame, catalog: D
 
 
 def matching_tapes(entries: DataFrame, catalog: DataFrame, first: int = 50) -> DataFrame:
-    """tape_id of cataloged tapes that list the first entries, in order, all with the same path and hash."""
-    head = entries.orderBy("segment", "line_no").limit(first).select("path", "sha256")
-    n = head.agg(F.count("*").alias("n"))
-    hits = catalog.select("tape_id", "path", "sha256").distinct().join(F.broadcast(head.distinct()), ["path", "sha256"]).groupBy("tape_id").agg(F.count("*").alias("hits"))
-    wanted = head.distinct().agg(F.count("*").alias("wanted"))
+    """tape_id of cataloged tapes whose manifests hold each of the first entries, in order, with the same hash.
+
+    Of a path's records on a tape the last counts. The catalog is cut to the few paths asked for before it is grouped.
+    """
+    head = entries.orderBy("segment", "line_no").limit(first).select("path", "sha256").distinct()
+    known = catalog.select("tape_id", "path", "sha256", "segment", "line_no").join(F.broadcast(head.select("path").distinct()), "path", "left_semi")
+    hits = last_wins(known, ["tape_id", "path"], ["segment", "line_no"]).join(F.broadcast(head), ["path", "sha256"]).groupBy("tape_id").agg(F.count("*").alias("hits"))
+    wanted = head.agg(F.count("*").alias("wanted"))
     return hits.join(F.broadcast(wanted), F.col("hits") == F.col("wanted")).where("wanted > 0").select("tape_id")
 
 

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from archivolt.shared import written
 
 
 def _up_to_here(keys: list[str], order: list[Column]):
@@ -77,24 +85,64 @@ def accepted_copies(rows: DataFrame, keys: list[str], order: list[Column], ok: C
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= copies).drop("nth", "fixed")
 
 
+def _flushed(keys: list[str], size: str, threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, segment = None, 0, 1
+        for batch in batches:
+            sizes = pc.fill_null(batch.column(size), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            cuts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+            out = np.empty(len(names), np.int32)
+            for a, b in zip(cuts, cuts[1:]):
+                if names[a] != group:
+                    group, held, segment = names[a], 0, 1
+                total = np.cumsum(sizes[a:b])
+                at, gone = 0, -held  # rows told, and the sum at the last flush
+                while at < b - a:
+                    full = max(at, int(np.searchsorted(total, gone + threshold)))
+                    out[a + at : a + min(full + 1, b - a)] = segment
+                    if full >= b - a:
+                        break
+                    gone, segment, at = int(total[full]), segment + 1, full + 1
+                held = int(total[-1]) - gone
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "segment"])
+
+    return run
+
+
 def flush_segments(rows: DataFrame, keys: list[str], order: str, size: str, threshold: int) -> DataFrame:
     """Adds `segment` (from 1): a new one begins after the row at which the bytes since the last flush reach threshold.
 
-    The counter starts again at 0 with each flush, which no running sum modulo threshold expresses; each group's sizes
-    are folded in order. A group is one tape, bounded by its manifest; groups run apart.
+    The counter starts again at 0 with each flush, which no running sum modulo threshold expresses. Each group (a tape) is
+    sorted in one partition and read once, batch by batch; nothing but the counter is held. Rows of equal order are taken in
+    the order of their size. A null size counts 0.
+    """
+    lined = rows.withColumn(size, F.col(size).cast("long")).repartition(*keys).sortWithinPartitions(*keys, order, size)
+    return lined.mapInArrow(_flushed(keys, size, threshold), T.StructType([*lined.schema.fields, T.StructField("segment", T.IntegerType())]))
+
+
+def ranged(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with `part`, written: ranges of the order, numbered in it. Rows of equal order are in one range."""
+    return written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+
+
+def running_total(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of a value (long) over all rows up to each, in an order of the whole table.
+
+    The table is dealt out by ranges of the order; the ranges' sums, a row each, are added up first, so no task sorts more
+    than its range. order: columns that tell all rows apart, or rows that are alike in all that counts.
     """
-    line = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    zero = F.struct(F.lit(0).cast("long").alias("held"), F.lit(1).alias("segment"), F.array().cast("array<struct<o:bigint,segment:int>>").alias("out"))
-
-    def step(state, row):
-        held = state["held"] + row["s"]
-        full = held >= threshold
-        out = F.concat(state["out"], F.array(F.struct(row["o"].cast("long").alias("o"), state["segment"].alias("segment"))))
-        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(held).alias("held"), (state["segment"] + full.cast("int")).alias("segment"), out.alias("out"))
-
-    found = rows.groupBy(*keys).agg(F.aggregate(line, zero, step, lambda s: s["out"]).alias("out"))
-    found = found.select(*keys, F.inline("out")).withColumnRenamed("o", order)
-    return rows.join(found, [*keys, order])
+    parts = ranged(rows.withColumn("__value", value.cast("long")), order)
+    sums = parts.groupBy("part").agg(F.sum("__value").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("part", before.alias("__before"))  # a row for each shuffle partition
+    inside = F.sum("__value").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(F.broadcast(sums), "part").withColumn(name, F.col("__before") + inside).drop("part", "__value", "__before")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds each row's place (from 1) in an order of the whole table; see running_total()."""
+    return running_total(rows, order, F.lit(1), name)
 
 
 def valid_prefix(rows: DataFrame, keys: list[str], order: list[Column], bad: Column) -> DataFrame:

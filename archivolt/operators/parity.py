@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
 
@@ -117,17 +118,26 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return power, log
 
 
-def multiply(a, b) -> np.ndarray:
+@cache
+def products() -> np.ndarray:
+    """The product of each two field elements, 256 x 256."""
     power, log = tables()
-    a, b = np.asarray(a, np.uint8), np.asarray(b, np.uint8)
-    return np.where((a == 0) | (b == 0), 0, power[log[a] + log[b]]).astype(np.uint8)
+    out = power[log[:, None] + log[None, :]].copy()
+    out[0, :] = out[:, 0] = 0
+    return out
+
+
+def multiply(a, b) -> np.ndarray:
+    return products()[np.asarray(a, np.uint8), np.asarray(b, np.uint8)]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Matrix product over the field; b may be wide (shards)."""
-    out = np.zeros((a.shape[0], b.shape[1]), np.uint8)
-    for j in range(a.shape[1]):
-        out ^= multiply(a[:, j][:, None], b[j][None, :])
+    table, out = products(), np.zeros((a.shape[0], b.shape[1]), np.uint8)
+    for i, row in enumerate(a):
+        for c, shard in zip(row, b):
+            if c:
+                out[i] ^= shard if c == 1 else table[c].take(shard)
     return out
 
 
@@ -197,57 +207,79 @@ def split_chunks(files: DataFrame, keys: list[str], content: str = "content") ->
     )
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of one group after another, out of sorted batches; what is held is one batch and the group cut by its end."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = list(zip(*(rows.column(n).to_pylist() for n in names)))
+        starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+        for a, b in zip(starts, starts[1:]):
+            yield rows.slice(a, b - a)
+        held = rows.slice(starts[-1]).combine_chunks() if starts else None
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _kind(df: DataFrame, keys: list[str], rest: str) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", window long, stripe long, {rest}"
+
+
 def encode(shards: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, window, stripe, j, parity, sha256 of the parity of split_chunks(); one Arrow group holds one stripe, 32 shards at most."""
-    fields = {f.name: f for f in shards.schema.fields}
-    kind = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in keys) + ", window long, stripe long, j int, parity binary, sha256 string"
+    """keys, window, stripe, j, parity, sha256 of the parity of split_chunks(). Stripes, 32 shards at most, come one after another."""
     names = [*keys, "window", "stripe"]
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pos")
-        x = group.column("layout")[0].as_py()
-        made = encode_stripe(group.column("shard").to_pylist(), x["k"], x["m"], x["shard_size"])
-        head = {n: [group.column(n)[0].as_py()] * len(made) for n in names}
-        types = {n: group.schema.field(n).type for n in names}
-        return pa.table({**{n: pa.array(head[n], types[n]) for n in names}, "j": pa.array(range(len(made)), pa.int32()), "parity": pa.array(made, pa.binary()), "sha256": [sha256(p).hexdigest() for p in made]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, names):
+            x = group.column("layout")[0].as_py()
+            made = encode_stripe(group.column("shard").to_pylist(), x["k"], x["m"], x["shard_size"])
+            head = [pa.array([group.column(n)[0].as_py()] * len(made), group.schema.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(range(len(made)), pa.int32()), pa.array(made, pa.binary()), pa.array([sha256(p).hexdigest() for p in made])], [*names, "j", "parity", "sha256"])
 
-    return shards.groupBy(*names).applyInArrow(run, kind)
+    rows = shards.select(*names, "pos", "layout", "shard").repartition(*names).sortWithinPartitions(*names, "pos")
+    return rows.mapInArrow(run, _kind(shards, keys, "j int, parity binary, sha256 string"))
 
 
 def repair(shards: DataFrame, parity: DataFrame, keys: list[str]) -> DataFrame:
     """keys, window, stripe, pos, shard, ok: damaged data shards rebuilt, each checked against its hash; ok is false where a stripe can't be.
 
     shards: as split_chunks() with `wanted` (sha256); a lost shard is a null. parity: as encode(), sha256 being what it
-    should be. Every shard is hashed before use, so damaged ones never take part.
+    should be. Every shard is hashed before use, so damaged ones never take part. Only stripes with a damaged shard are moved,
+    and one stripe at a time is held.
     """
-    good = F.coalesce(F.sha2("shard", 256) == F.col("wanted"), F.lit(False))
-    data = shards.select(*keys, "window", "stripe", F.struct("pos", F.when(good, F.col("shard")).alias("raw"), "wanted").alias("x"), "layout")
-    data = data.groupBy(*keys, "window", "stripe").agg(F.first("layout").alias("layout"), F.array_sort(F.collect_list("x")).alias("data")).where(F.exists("data", lambda d: d["raw"].isNull()))
-    sound = parity.where(F.coalesce(F.sha2("parity", 256) == F.col("sha256"), F.lit(False)))
-    sound = sound.groupBy(*keys, "window", "stripe").agg(F.collect_list(F.struct("j", "parity")).alias("par"))
-    fields = {f.name: f for f in shards.schema.fields}
-    kind = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in keys) + ", window long, stripe long, pos long, shard binary, ok boolean"
     names = [*keys, "window", "stripe"]
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                x, have = r["layout"], {d["pos"]: d for d in r["data"]}
-                head = [r[n] for n in names]
-                lost = [p for p, d in have.items() if d["raw"] is None]
-                try:
-                    made = repair_stripe({p: d["raw"] for p, d in have.items() if d["raw"] is not None}, {p["j"]: p["parity"] for p in r["par"] or []}, max(have) + 1, x["k"], x["m"], x["shard_size"])
-                except ValueError:
-                    made = {}
-                for p in lost:
-                    raw, want = made.get(p), have[p]["wanted"]
-                    # the last shard of a file is shorter: its recorded hash tells at which length
-                    ends = [] if raw is None else [len(raw), len(raw.rstrip(b"\0")), *((x["size"] - 1) % x["shard_size"] + 1,)]
-                    fit = next((raw[:n] for n in ends if sha256(raw[:n]).hexdigest() == want), None)
-                    rows.append([*head, p, fit, fit is not None])
-            cols = list(zip(*rows)) if rows else [[] for _ in range(len(names) + 3)]
-            schema = [batch.schema.field(n).type for n in names] + [pa.int64(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema)], [*names, "pos", "shard", "ok"])
-
-    return data.join(sound, names, "left").mapInArrow(run, kind)
+    sound = F.coalesce(F.sha2("shard", 256) == F.col("wanted"), F.lit(False))
+    data = shards.select(*names, F.lit(0).alias("role"), F.col("pos").cast("long").alias("at"), F.when(sound, F.col("shard")).alias("raw"), "wanted", "layout")
+    spare = parity.where(F.coalesce(F.sha2("parity", 256) == F.col("sha256"), F.lit(False)))
+    spare = spare.select(*names, F.lit(1).alias("role"), F.col("j").cast("long").alias("at"), F.col("parity").alias("raw"), F.col("sha256").alias("wanted"), F.lit(None).cast(shards.schema["layout"].dataType).alias("layout"))
+    broken = data.where("raw is null").select(*names).distinct()
+    rows = data.unionByName(spare).join(broken, names, "left_semi").withColumn("deal", F.xxhash64(*names))
+    # dealt by a column of its own: a union of joins on the names may claim their partitioning and lose it at run time
+    rows = rows.repartition("deal").sortWithinPartitions("deal", *names, "role", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, names):
+            x = group.column("layout")[0].as_py()
+            have, spare = {}, {}
+            for role, at, raw, want in zip(*(group.column(c).to_pylist() for c in ("role", "at", "raw", "wanted"))):
+                if role:
+                    spare[at] = raw
+                else:
+                    have[at] = raw, want
+            lost = [at for at, (raw, _) in have.items() if raw is None]
+            try:
+                if max(have) >= x["k"]:
+                    raise ValueError("a shard outside the layout")
+                made = repair_stripe({at: raw for at, (raw, _) in have.items() if raw is not None}, spare, max(have) + 1, x["k"], x["m"], x["shard_size"])
+            except ValueError:
+                made = {}
+            fits = []
+            for at in lost:
+                raw, want = made.get(at), have[at][1]
+                # the last shard of a file is shorter: its recorded hash tells at which length
+                ends = [] if raw is None else [len(raw), (x["size"] - 1) % x["shard_size"] + 1, len(raw.rstrip(b"\0"))]
+                fits.append(next((raw[:n] for n in ends if sha256(raw[:n]).hexdigest() == want), None))
+            head = [pa.array([group.column(n)[0].as_py()] * len(lost), group.schema.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(lost, pa.int64()), pa.array(fits, pa.binary()), pa.array([f is not None for f in fits])], [*names, "pos", "shard", "ok"])
+
+    return rows.mapInArrow(run, _kind(shards, keys, "pos long, shard binary, ok boolean"))

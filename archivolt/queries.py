@@ -6,10 +6,7 @@ its tape already is a reference to the first. labels are verifications, events t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt import schemas
@@ -19,7 +16,6 @@ from archivolt.operators import catalog, content, ordered, parity, telemetry
 from archivolt.plans import purge, put, tape
 from archivolt.sinks import checksum_lines
 from archivolt.sources.jsonl import parsed
-from archivolt.streaming.watch import watch_drives
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES = {}
@@ -222,11 +218,13 @@ def purge_plan(spark, sf_dir):
 @query("""
     WITH i AS (SELECT event_type, event_id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS island FROM events),
     s AS (SELECT event_type, min(event_id) AS lo, max(event_id) AS hi FROM i GROUP BY event_type, island)
-    SELECT event_type, string_agg((lo * 16) || '-' || (least((hi + 1) * 16, 100000) - 1), ', ' ORDER BY lo) AS ranges FROM s GROUP BY event_type
+    SELECT event_type, string_agg((lo * 16) || '-' || (least((hi + 1) * 16, (SELECT max(event_id) * 16 + 10 FROM events)) - 1), ', ' ORDER BY lo) AS ranges FROM s GROUP BY event_type
 """)
 def bad_ranges(spark, sf_dir):
-    """Consecutive bad chunks as byte ranges (W1): events of one type as the bad chunks of a file."""
-    return ordered.bad_ranges(table(spark, sf_dir, "events"), ["event_type"], "event_id", F.lit(16).cast("long"), F.lit(100000).cast("long"))
+    """Consecutive bad chunks as byte ranges (W1): events of one type as the bad chunks of a file that ends within the last."""
+    events = table(spark, sf_dir, "events")
+    size = (events.agg(F.max("event_id").alias("m")).first().m or 0) * 16 + 10
+    return ordered.bad_ranges(events, ["event_type"], "event_id", F.lit(16).cast("long"), F.lit(size).cast("long"))
 
 
 @query("""
@@ -354,16 +352,25 @@ def parity_geometry(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, TRUE AS repaired FROM documents WHERE strlen(text) > 0")
+@query("""
+    WITH s AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS size FROM documents WHERE strlen(text) > 0),
+    l AS (SELECT *, size >= 20480 AS large, CASE WHEN size >= 20480 THEN 1024 ELSE (size + 19) // 20 END AS shard FROM s),
+    c AS (SELECT *, (size + shard - 1) // shard AS chunks FROM l),
+    i AS (SELECT *, unnest(range(0, chunks)) AS i FROM c),
+    w AS (SELECT *, CASE WHEN large THEN i // 320 ELSE 0 END AS win, CASE WHEN large THEN i % 320 ELSE i END AS k FROM i),
+    p AS (SELECT *, CASE WHEN large THEN least((least(320, chunks - win * 320) + 19) // 20, 16) ELSE 1 END AS stripes FROM w)
+    SELECT doc_id, CAST(win AS BIGINT) AS win, CAST(CASE WHEN large THEN k % stripes ELSE 0 END AS BIGINT) AS stripe, CAST(k // stripes AS BIGINT) AS pos, TRUE AS ok, sha256(unhex(substring(h, i * shard * 2 + 1, shard * 2))) AS sha256
+    FROM p WHERE k // stripes IN (0, 3)
+""")
 def parity_roundtrip(spark, sf_dir):
-    """Every file encoded with two parity shards a stripe, two data shards of each stripe lost and rebuilt."""
+    """Every file encoded with two parity shards a stripe, two data shards of each stripe lost; the hashes of those rebuilt."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     docs = docs.withColumn("layout", parity.layout(F.octet_length("content").cast("long"), F.lit(1024).cast("long"), F.lit(2)))
     shards = parity.split_chunks(docs, ["doc_id"]).withColumn("wanted", F.sha2("shard", 256))
     coded = parity.encode(shards.drop("wanted"), ["doc_id"])
     lost = shards.withColumn("shard", F.when(~F.col("pos").isin(0, 3), F.col("shard")))
     fixed = parity.repair(lost, coded, ["doc_id"])
-    return fixed.groupBy("doc_id").agg(F.every("ok").alias("repaired"))
+    return fixed.select("doc_id", F.col("window").alias("win"), "stripe", "pos", "ok", F.sha2("shard", 256).alias("sha256"))
 
 
 @query("""
@@ -391,41 +398,23 @@ def jsonl_lenient(spark, sf_dir):
 
 
 @query("""
-    SELECT doc_id, path <> '' AND NOT regexp_matches(path, '(^|/)[.]{0,2}(/|$)') AND NOT regexp_matches(path, '[\\n\\r]') AND path <> '.archive' AND NOT starts_with(path, '.archive/') AND path <> 'SHA256SUMS' AS ok
-    FROM (SELECT doc_id, substring(text, 1, 60) AS path FROM documents)
+    SELECT doc_id, text <> '' AND NOT regexp_matches(text, '(^|/)[.]{0,2}(/|$)') AND NOT regexp_matches(text, '[\\n\\r]') AND NOT contains(text, chr(0)) AND text <> '.archive' AND NOT starts_with(text, '.archive/') AND text <> 'SHA256SUMS' AS ok
+    FROM documents
 """)
 def path_rules(spark, sf_dir):
-    """Which texts' first 60 characters would be accepted as a path."""
-    return table(spark, sf_dir, "documents").select("doc_id", valid_path(F.substring("text", 1, 60)).alias("ok"))
+    """Which whole texts would be accepted as a path."""
+    return table(spark, sf_dir, "documents").select("doc_id", valid_path(F.col("text")).alias("ok"))
 
 
-@query(ENTRIES_SQL + "SELECT path, row_number() OVER (ORDER BY string_split(path, '/'), tape_id) AS place FROM e")
+@query("""
+    WITH p AS (SELECT lang || CASE WHEN doc_id % 3 = 0 THEN '-x/' WHEN doc_id % 3 = 1 THEN '/' ELSE '/a/' END || doc_id AS path FROM documents)
+    SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM p
+""")
 def walk_order(spark, sf_dir):
-    """Place of each file in a directory walk (O7): a range sort, numbered by counts of the ranges before."""
-    rows = plain_entries(spark, sf_dir).select("path", "tape_id")
-    key = F.struct(ordered.walk_order("path").alias("p"), "tape_id")
-    buckets = rows.groupBy(F.substring("path", 1, 4).alias("b")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = buckets.select("b", before.alias("before"))
-    rows = rows.withColumn("b", F.substring("path", 1, 4)).join(buckets, "b")
-    return rows.select("path", (F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy(key))).alias("place"))
-
-
-@query()
-def drive_watch(spark, sf_dir):
-    """Events as polls of drives, one drive for each user, watched as a stream (T1). The batch form is checked in the tests."""
-    polls = drive_polls(table(spark, sf_dir, "events"))
-    found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="archivolt-")
-    base = f"{found.rstrip('/')}/watch-{uuid.uuid4().hex}"
-    polls.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(polls.schema).parquet(f"{base}/in")
-    watch_drives(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
-
-
-def drive_polls(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.col("user_id").cast("string").alias("drive"), "ts", F.when(F.col("value") > 95, "drive requests cleaning").otherwise("").alias("cleaning"),
-        F.array(F.struct(F.lit("port 1 phy 0").alias("link"), F.col("event_type").alias("rate"))).alias("links"),
-        F.floor("value").cast("long").alias("write_uncorrected"), F.lit(0).cast("long").alias("read_uncorrected"),
-    )
+    """Place of each file in a directory walk (O7): folders before those whose name goes on with a sign below the slash."""
+    i = F.col("doc_id")
+    path = F.concat("lang", F.when(i % 3 == 0, "-x/").when(i % 3 == 1, "/").otherwise("/a/"), i.cast("string"))
+    return ordered.numbered(table(spark, sf_dir, "documents").select(path.alias("path")), [ordered.walk_order("path")])
+
+
+from archivolt import device_queries, plan_queries  # noqa: E402, F401  they register their queries

@@ -135,6 +135,25 @@ def test_put_decisions(spark):
     assert plan(files, none, on1, on1, t12, "t2", copies=2) == {"a": ("ARCHIVE", None), "b": ("ARCHIVE", None), "copy": ("DUPLICATE", "a")}
 
 
+def test_a_copy_that_this_run_writes_counts(spark):
+    files = files_of(spark, [("a", 5, 1, A), ("b", 5, 1, A)])
+    on1 = entries(spark, [("t1", "b", 5, A, None, 1)])
+    got = {r.rel: r.decision for r in put.decide(files, entries(spark, []), on1, on1, tape_rows(spark, [("t1", "", None), ("t2", "", None)]), "t2", copies=2).collect()}
+    assert got == {"a": "ARCHIVE", "b": "SKIP_ELSEWHERE"}
+
+
+def test_paths_within_folders(spark):
+    cases = [("/a/b", "/a", True), ("/a", "/a", True), ("/ab", "/a", False), ("/a/../b", "/a", False), ("/a/./b//c", "/a/b/", True), ("a/b", "/a", False), ("/x", "/", True), ("a", ".", True), ("../a", ".", False), ("../a/b", "../a", True), ("/..", "/", True), ("/a", "a", False)]
+    got = spark.createDataFrame(cases, "p string, f string, want boolean").select("p", "f", "want", catalog.within(F.col("p"), F.col("f")).alias("got")).collect()
+    assert [(r.p, r.f, r.got) for r in got] == cases
+
+
+def test_the_last_record_of_a_path_tells_a_tape(spark):
+    known = entries(spark, [("old", "a", 5, A, None, 1), ("old", "a", 5, B, None, 2), ("right", "a", 5, B, None, 1), ("right", "a", 5, A, None, 2)])
+    mounted = entries(spark, [("x", "a", 5, A, None, 1)])
+    assert [r.tape_id for r in catalog.matching_tapes(mounted, known).collect()] == ["right"]
+
+
 def test_a_full_tape_stops_the_run(spark):
     planned = put.decide(files_of(spark, [(n, 5, 1, n * 64) for n in "abcd"]), entries(spark, []), entries(spark, []), entries(spark, []), tape_rows(spark, []), "t")
     got = {r.rel: r.decision for r in put.until_full(planned, F.col("size"), 12).collect()}

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from archivolt import queries
+from archivolt import device_queries, queries
 from archivolt.operators import firmware, telemetry
 from archivolt.streaming import watch
 
@@ -136,9 +136,9 @@ def test_the_watch_reports_each_thing_once():
 
 def test_the_stream_equals_the_batch_form(spark):
     sf = "/root/testdata/sf0.001"
-    got = sorted((r.drive, r.ts, r.kind, r.what or "", r.was or "", r.now or "") for r in queries.drive_watch(spark, sf).collect())
+    got = sorted((r.drive, r.ts, r.kind, r.what or "", r.was or "", r.now or "") for r in device_queries.drive_watch(spark, sf).collect())
     want, state = [], {}
-    for p in queries.drive_polls(spark.read.parquet(f"{sf}/events.parquet")).orderBy("ts").collect():
+    for p in device_queries.drive_polls(spark.read.parquet(f"{sf}/events.parquet")).orderBy("ts").collect():
         state[p.drive], out = watch.step(state.get(p.drive), p.ts, p.cleaning or None, {x.link: x.rate for x in p.links}, p.write_uncorrected, p.read_uncorrected)
         want += [(p.drive, t, k, w or "", a or "", b or "") for t, k, w, a, b in out]
     assert got == sorted(want) and got

@@ -68,3 +68,15 @@ def test_orders(spark):
     df = spark.createDataFrame([("b", None), ("a/z", None), ("a-b", 7), ("c", 3)], "path string, block int")
     assert [r.path for r in df.orderBy(*ordered.tape_order()).collect()] == ["c", "a-b", "a/z", "b"]
     assert [r.path for r in df.orderBy(ordered.walk_order()).collect()][:2] == ["a/z", "a-b"]
+
+
+def test_segments_of_rows_with_one_order(spark):
+    rows = [("t", 1, 4), ("t", 1, 4), ("t", 2, 4), ("u", 1, 50), ("u", 2, None), ("u", 3, 9), ("u", 4, 2), ("u", 5, 1)]
+    got = ordered.flush_segments(spark.createDataFrame(rows, "tape_id string, line_no long, size long").repartition(3), ["tape_id"], "line_no", "size", 10).collect()
+    assert sorted((r.tape_id, r.line_no, r.segment) for r in got) == [("t", 1, 1), ("t", 1, 1), ("t", 2, 1), ("u", 1, 1), ("u", 2, 2), ("u", 3, 2), ("u", 4, 2), ("u", 5, 3)]
+
+
+def test_places_over_ranges(spark):
+    paths = [f"{a}/{i}" for a in ("a", "a-b", "a/c", "b") for i in range(40)]
+    got = ordered.numbered(spark.createDataFrame([(p,) for p in paths], "path string").repartition(5), [ordered.walk_order("path")]).collect()
+    assert [r.path for r in sorted(got, key=lambda r: r.place)] == sorted(paths, key=lambda p: p.split("/")) and sorted(r.place for r in got) == list(range(1, 161))

@@ -7,7 +7,7 @@ import pytest
 from archivolt import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "labels", "events", "orders"]
+TABLES = ["documents", "labels", "events", "orders", "customer"]
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def rows(df, cols):
     def plain(v):
         if pd.isna(v):
             return None
-        return str(int(v)) if not isinstance(v, (str, bool)) and float(v).is_integer() else str(v)
+        return str(v) if isinstance(v, (str, bool, pd.Timestamp)) or not float(v).is_integer() else str(int(v))
 
     return sorted((tuple(plain(v) for v in r) for r in df[cols].itertuples(index=False)), key=str)
 
