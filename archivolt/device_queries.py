@@ -239,3 +239,73 @@ def drive_polls(events):
         F.array(F.struct(F.lit("port 1 phy 0").alias("link"), F.col("event_type").alias("rate"))).alias("links"),
         F.floor("value").cast("long").alias("write_uncorrected"), F.lit(0).cast("long").alias("read_uncorrected"),
     )
+
+
+@query("""
+    SELECT event_id, CAST(k AS INTEGER) AS ord, CASE WHEN k = 0 THEN 88 ELSE 90 END AS primary_code, (event_id + k) % 2 = 0 AS writable, k = 1 AS is_default, event_id * 10 + k AS capacity_mb, 'LTO-CVE' AS organization,
+           CASE WHEN k = 0 THEN 'U-516' ELSE 'U-616' END AS name, event_type AS description, CASE WHEN k = 0 THEN 'LTO-5' ELSE 'LTO-6' END AS generation FROM events, range(2) r(k)
+""")
+def densities(spark, sf_dir):
+    """Density descriptors of a drive; a torn third one is left out."""
+    one = lambda k, code, name: F.concat(
+        F.lit(code * 2), be((((F.col("event_id") + k) % 2 == 0).cast("int") * 0x80) + 0x20 * k, 1), F.lit("00" * 9), be(F.col("event_id") * 10 + k, 4), text("LTO-CVE", 8), text(name, 8), text(F.col("event_type"), 20),
+    )
+    body = F.concat(one(0, "58", "U-516"), one(1, "5A", "U-616"), F.lit("5C5C00"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.unhex(F.concat(be(F.length(body) / 2, 2), F.lit("0000"), body)).alias("raw"))
+    return telemetry.densities(rows, KEYS).select("event_id", "ord", "primary_code", "writable", "is_default", "capacity_mb", "organization", "name", "description", "generation")
+
+
+@query("SELECT event_id, 2 AS encrypt_mode, event_id % 3 AS algorithm_index, user_id AS key_instance, event_type AS key, CASE event_id % 3 WHEN 1 THEN 'AES-256-GCM' WHEN 2 THEN 'algorithm 0x00010020' END AS algorithm FROM events")
+def encryption_status(spark, sf_dir):
+    """A drive's encryption as it is set, with its key and the algorithm's name."""
+    name = F.hex(F.col("event_type").cast("binary"))
+    key = F.concat(F.lit("0000"), be(F.length(name) / 2, 2), name)
+    body = F.concat(F.lit("00" * 5), F.lit("02"), F.lit("03"), be(F.col("event_id") % 3, 1), be(F.col("user_id"), 4), F.lit("00" * 12), F.lit("02000001FF"), key)
+    e = table(spark, sf_dir, "events")
+    status = telemetry.encryption_status(e.select("event_id", F.unhex(body).alias("raw")), KEYS)
+    known = [(0, 1, "AES-256-GCM"), (1, 2, "algorithm 0x00010020"), (2, 1, "later")]
+    listed = F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(i).cast("long").alias("index"), F.lit(n).alias("name")) for o, i, n in known))
+    algos = e.select("event_id", F.inline(listed))
+    return telemetry.current_algorithm(status, algos, KEYS).select("event_id", "encrypt_mode", "algorithm_index", "key_instance", F.decode("key_raw", "ISO-8859-1").alias("key"), "algorithm")
+
+
+@query("""
+    SELECT event_id, 'SN' || user_id AS serial, event_id % 2 = 1 AS idle_enabled, event_id % 4 >= 2 AS standby_enabled, user_id * 100 AS idle_ms, event_id % 3 = 0 AS compressing FROM events
+""")
+def drive_modes(spark, sf_dir):
+    """Serial number, power timers and compression of a drive's pages."""
+    serial = text(F.concat(F.lit("SN"), F.col("user_id").cast("string")), 12)
+    power = F.concat(F.lit("00000008"), F.lit("00" * 8), F.lit("1A26"), F.lit("00"), be(F.when(F.col("event_id") % 2 == 1, 2).otherwise(0) + F.when(F.col("event_id") % 4 >= 2, 1).otherwise(0), 1), be(F.col("user_id"), 4), be(0, 4))
+    mode = F.concat(F.lit("00000000"), F.lit("0F0E"), F.when(F.col("event_id") % 3 == 0, "80").otherwise("00"), F.lit("00"))
+    rows = table(spark, sf_dir, "events").select("event_id", telemetry.serial_number(F.unhex(F.concat(F.lit("0180000C"), serial))).alias("serial"), telemetry.power_condition(F.unhex(power)).alias("p"), telemetry.compression_mode(F.unhex(mode)).alias("compressing"))
+    return rows.select("event_id", "serial", "p.idle_enabled", "p.standby_enabled", "p.idle_ms", "compressing")
+
+
+@query("""
+    SELECT event_id, concat_ws('; ', CASE WHEN event_id % 2 = 1 THEN 'drive requests cleaning' END, 'TapeAlert 3 (warning): hard error: read or write failed',
+           CASE WHEN user_id % 3 > 0 THEN 'drive reports ' || (user_id % 3) || ' uncorrected write errors' END, CASE WHEN event_id % 5 = 0 THEN 'drive mechanism has exceeded its maximum recommended temperature' END) AS warnings,
+           CASE WHEN event_id % 7 = 0 THEN 'read' ELSE '' END AS problems FROM events
+""")
+def drive_warnings(spark, sf_dir):
+    """What needs attention in a drive's snapshot, in fixed order, and the parts missing."""
+    e = table(spark, sf_dir, "events")
+    none = F.lit(None).cast("decimal(20,0)")
+    parts = {
+        "status": e.select("event_id", F.when(F.col("event_id") % 2 == 1, "drive requests cleaning").alias("cleaning")), "write": e.select("event_id", (F.col("user_id") % 3).cast("decimal(20,0)").alias("uncorrected")),
+        "read": e.where("event_id % 7 <> 0").select("event_id", F.lit(0).cast("decimal(20,0)").alias("uncorrected")), "non_medium": e.select("event_id", none.alias("non_medium")),
+        "stats": e.select("event_id", (F.col("event_id") % 5 == 0).alias("temperature_exceeded")), "volume": e.select("event_id", none.alias("write_unrecovered"), none.alias("read_unrecovered"), F.lit(False).alias("temperature_exceeded")),
+        "loaded": e.select("event_id", F.lit(0).cast("long").alias("n")),
+    }
+    info = telemetry.gather(parts, KEYS)
+    alerts = e.select("event_id", F.lit(3).alias("flag"), F.lit("hard error: read or write failed").alias("name"), F.lit("warning").alias("severity")).unionByName(e.select("event_id", F.lit(11).alias("flag"), F.lit("cleaning cartridge loaded").alias("name"), F.lit("info").alias("severity")))
+    told = telemetry.warnings(info, KEYS, alerts).join(info.select("event_id", "problems"), "event_id")
+    return told.select("event_id", F.array_join("warnings", "; ").alias("warnings"), F.array_join("problems", ",").alias("problems"))
+
+
+@query("SELECT user_id % 10 AS drive, count(*) AS n FROM events WHERE value > 50 AND user_id = user_id % 10 + 10 GROUP BY 1")
+def loaded_errors(spark, sf_dir):
+    """Errors that a drive's history holds for the cartridge it has loaded."""
+    e = table(spark, sf_dir, "events")
+    log = e.select((F.col("user_id") % 10).alias("drive"), F.when(F.col("value") > 50, 3).otherwise(4).alias("key"), F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("medium_id"))
+    loaded = spark.range(10).select(F.col("id").alias("drive"), F.concat(F.lit("M"), (F.col("id") + 10).cast("string")).alias("serial"))
+    return telemetry.loaded_errors(log, loaded, ["drive"])

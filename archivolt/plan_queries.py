@@ -10,6 +10,7 @@ from archivolt.functions import scalars, validate
 from archivolt.operators import catalog, content, ordered, resume
 from archivolt.plans import purge, put, tape
 from archivolt.queries import ENTRIES_SQL, entries, plain_entries, query, table
+from archivolt.sources.tapes import sources_checked
 
 
 def no_age() -> Column:
@@ -158,6 +159,135 @@ def file_scan(spark, sf_dir):
     return told.select("doc_id", content.verify_status(F.lit(False)).alias("status"), "detail")
 
 
+@query("""
+    SELECT name AS path, CASE WHEN k = 0 AND labeled THEN NULL WHEN k = 0 THEN 'ORPHAN' ELSE 'IGNORED' END AS decision,
+           CASE k WHEN 1 THEN 'incomplete transfer' WHEN 2 THEN 'not a regular file' WHEN 3 THEN 'unsupported file name' END AS reason
+    FROM (SELECT doc_id % 4 AS k, lang || '/' || doc_id || CASE doc_id % 4 WHEN 1 THEN '.partial' WHEN 3 THEN '/./x' ELSE '' END AS name, doc_id IN (SELECT doc_id FROM labels) AS labeled FROM documents) WHERE NOT (k = 0 AND labeled)
+""")
+def recover_plan(spark, sf_dir):
+    """Files on tape that no record names, and those that are left alone, with the reason."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(i, F.concat("lang", F.lit("/"), i.cast("string")).alias("base"))
+    listing = d.select(F.concat("base", F.when(i % 4 == 1, ".partial").when(i % 4 == 3, "/./x").otherwise("")).alias("path"), (i % 4 != 2).alias("regular"), F.lit(None).cast("long").alias("block"))
+    meta = spark.createDataFrame([(".archive/x", True, None), ("SHA256SUMS", True, None)], "path string, regular boolean, block long")
+    known = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").where("doc_id % 4 = 0")
+    known = known.select(F.col("base").alias("path"), at().alias("size"), F.lit("").alias("sha256"), no_age())
+    return tape.recover(listing.unionByName(meta), known).select("path", "decision", "reason")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, lang || '/' || doc_id AS path, text <> '' AS there, row_number() OVER (ORDER BY CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id * 7919) % 10007 END NULLS LAST, string_split(lang || '/' || doc_id, '/')) AS place FROM documents)
+    SELECT path, place FROM d
+""")
+def tape_order(spark, sf_dir):
+    """Reading order on a tape: known start blocks first, the rest in walk order."""
+    i = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), i.cast("string")).alias("path"), F.when(i % 3 != 0, (i * 7919) % 10007).alias("block"))
+    return ordered.numbered(rows, ordered.tape_order()).select("path", "place")
+
+
+@query("""
+    WITH d AS (SELECT lang || '/' || source AS folder, doc_id % 2 = 0 OR source < 'm' AS deleted FROM documents)
+    SELECT folder FROM (SELECT folder FROM d GROUP BY folder HAVING bool_and(deleted)) UNION SELECT split_part(folder, '/', 1) FROM d GROUP BY 1 HAVING bool_and(deleted)
+""")
+def emptied_folders(spark, sf_dir):
+    """Folders that a purge leaves empty."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.concat("lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), ((F.col("doc_id") % 2 == 0) | (F.col("source") < "m")).alias("deleted"))
+    return purge.emptied_folders(rows.where("deleted"), rows.where("not deleted"))
+
+
+@query("SELECT doc_id AS file_key, doc_id % 2 = 0 AS journal, doc_id % 2 <> 0 AND doc_id % 3 = 0 AS staged FROM documents WHERE (doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels)) OR (doc_id % 2 <> 0 AND doc_id % 3 = 0)")
+def stale_state(spark, sf_dir):
+    """Journals of files recorded meanwhile, and staged parity without a journal."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_key"))
+    journals, staged = tape.stale_state(ids.where("file_key % 2 = 0"), ids.where("file_key % 3 = 0"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_key")))
+    return journals.select("file_key", F.lit(True).alias("journal"), F.lit(False).alias("staged")).unionByName(staged.select("file_key", F.lit(False).alias("journal"), F.lit(True).alias("staged")))
+
+
+@query(ENTRIES_SQL + "SELECT sha256, count(DISTINCT tape_id) AS copies FROM e WHERE ref_path IS NULL AND tape_id > (SELECT min(source) FROM documents) GROUP BY sha256")
+def active_copies(spark, sf_dir):
+    """Copies on tapes that aren't retired."""
+    rows = entries(spark, sf_dir)
+    ids = rows.select(F.col("tape_id").alias("id")).distinct()
+    first = ids.agg(F.min("id").alias("m")).first().m
+    tapes = ids.withColumn("retired_ns", F.when(F.col("id") == first, F.lit(1)).cast("long"))
+    return catalog.copy_index(rows, tapes).select("sha256", "copies")
+
+
+@query("""
+    WITH s AS (SELECT doc_id, unnest(range(0, 4)) AS j FROM documents)
+    SELECT doc_id, CAST(CASE WHEN doc_id % 5 < 4 THEN doc_id % 5 ELSE 4 END AS BIGINT) AS valid, doc_id % 5 = 4 AND doc_id % 2 = 0 AS whole FROM documents
+""")
+def staged_parity(spark, sf_dir):
+    """How many staged shards are intact from the start, and whether all are there."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, range(4)))).alias("j"))
+    good = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("j").cast("string")).cast("binary")
+    rows = d.select("doc_id", "j", good.alias("good"), (F.col("j") == F.col("doc_id") % 5).alias("bad"))
+    staged = rows.where(~F.col("bad") | (F.col("doc_id") % 2 == 0)).select("doc_id", "j", F.when(F.col("bad"), F.lit("x").cast("binary")).otherwise(F.col("good")).alias("parity"))
+    valid = resume.staged_valid(staged, rows.select("doc_id", "j", F.sha2("good", 256).alias("sha256")), ["doc_id"])
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.lit(4).cast("long").alias("shards"), F.lit(8).cast("long").alias("size"), F.when(F.col("doc_id") % 2 == 0, 8).otherwise(9).cast("long").alias("staged_size"))
+    return resume.staged_whole(valid, sizes, ["doc_id"]).select("doc_id", "valid", "whole")
+
+
+@query("SELECT source AS tape_id, lang || '/' || doc_id AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256, TRUE AS recovered, CAST((strlen(text) + 255) // 256 AS INTEGER) AS chunks FROM documents")
+def recovered_entries(spark, sf_dir):
+    """Entries and chunk lists made for files without records."""
+    d = table(spark, sf_dir, "documents")
+    files = d.select(F.col("source").alias("tape_id"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), at().alias("mtime_ns"), F.encode("text", "UTF-8").alias("content"))
+    made, lists = content.recovered_entries(files, 256)
+    rows = made.join(lists.select("tape_id", "path", F.size("sha256").alias("chunks")), ["tape_id", "path"], "left")
+    return rows.select("tape_id", "path", "size", "sha256", "recovered", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@query("SELECT path, decision, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT 'all' AS path, strlen(text) AS size, CASE WHEN row_number() OVER (PARTITION BY text ORDER BY string_split(lang || '/' || doc_id, '/')) = 1 THEN 'ARCHIVE' ELSE 'DUPLICATE' END AS decision FROM documents) GROUP BY 1, 2")
+def put_summary(spark, sf_dir):
+    """What an archiving run did, by decision."""
+    files = plain_entries(spark, sf_dir).select(F.col("path").alias("rel"), F.col("path").alias("source"), "size", at().alias("mtime_ns"), "sha256")
+    none = spark.createDataFrame([], schemas.ENTRIES)
+    return put.summary(put.decide(files, none, none, none, spark.createDataFrame([], schemas.TAPES), "new")).select(F.lit("all").alias("path"), "decision", "files", "bytes")
+
+
+@query("SELECT source AS id, CAST(count(*) AS INTEGER) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CASE WHEN source = (SELECT max(source) FROM documents) THEN 5 END AS retired_ns, 9 AS imported_at_ns FROM documents GROUP BY source")
+def imported_tapes(spark, sf_dir):
+    """Tapes imported from their manifests; retirement stays (K8)."""
+    rows = plain_entries(spark, sf_dir).withColumn("ref", no_ref())
+    ids = rows.select(F.col("tape_id").alias("id")).distinct()
+    last = ids.agg(F.max("id").alias("m")).first().m
+    none = spark.createDataFrame([(last, "", None, 0, 0, 0, 0, 5, None)], schemas.TAPES)
+    volumes = ids.select("id", F.col("id").alias("label"), F.lit(None).cast("string").alias("ltfs_uuid"), at().alias("created_ns"))
+    return catalog.import_tape(none, rows, volumes, 9).select("id", "files", "bytes", "retired_ns", "imported_at_ns")
+
+
+@query("SELECT doc_id % 3 = 1 AS same, count(*) AS files FROM documents GROUP BY 1")
+def unchanged_sources(spark, sf_dir):
+    """Interrupted transfers whose source is still the same, field by field, nulls alike (P10, F16)."""
+    i = F.col("doc_id")
+    header = lambda mtime, change: F.struct(F.col("source"), F.col("lang").alias("path"), F.col("n_chars").alias("size"), mtime.alias("mtime_ns"), change.alias("change_id"))
+    a = header(i, F.when(i % 3 == 0, F.lit("c")))
+    b = header(F.when(i % 3 == 2, i + 1).otherwise(i), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "documents").select(resume.same_source(a, b).alias("same")).groupBy("same").agg(F.count("*").alias("files"))
+
+
+@query("""
+    SELECT user_id, max(event_id) * 64 AS "offset" FROM events WHERE value < 80 AND event_id % 2 = 0 AND event_id * 64 <= 30000 GROUP BY user_id
+""")
+def resume_points(spark, sf_dir):
+    """The last checkpoint at a window's boundary that the partial file still covers (W11, C15's resume point)."""
+    rows = table(spark, sf_dir, "events").where("event_id * 64 <= 40000")
+    points = rows.select("user_id", (F.col("event_id") * 64).alias("offset"), F.when(F.col("value") < 80, F.lit("s").cast("binary")).alias("state"), F.array_repeat(F.lit("h"), (F.col("event_id") * 4).cast("int")).alias("chunks"), F.lit(16).cast("long").alias("chunk_size"))
+    return tape.pick_resume_point(points, ["user_id"], F.lit(30_000).cast("long"), 128).select("user_id", "offset")
+
+
+@query("SELECT 'refused' AS decision, count(*) AS files FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'taken', count(*) FROM documents WHERE doc_id % 4 = 0")
+def source_names(spark, sf_dir):
+    """Source files whose names can't be archived."""
+    i = F.col("doc_id")
+    rel = F.concat("lang", F.lit("/"), i.cast("string"), F.when(i % 4 == 1, ".partial").when(i % 4 == 2, ".age").when(i % 4 == 3, "\n").otherwise(""))
+    found = sources_checked(table(spark, sf_dir, "documents").select(rel.alias("rel")))
+    return found.groupBy(F.when(F.col("refused").isNull(), "taken").otherwise("refused").alias("decision")).agg(F.count("*").alias("files"))
+
+
 # Records
 
 
