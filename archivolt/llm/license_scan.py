@@ -196,6 +196,36 @@ def candidates(key: np.ndarray, doc: np.ndarray, known: Templates, p: LicenseSca
     return out
 
 
+def stretches(place: np.ndarray, key: np.ndarray, size: int, p: LicenseScan) -> list[tuple[int, int, float]]:
+    """(first place, last place, containment) of the stretches of a run of hits that hold enough of a template of `size` shingles.
+
+    A stretch is at most a quarter longer than the template, so that wording it shares with its surroundings isn't drawn in. The
+    one with most of the template is taken first, the shortest of those; then what lies on either side of it.
+    """
+    out, todo = [], [(0, len(place))]
+    while todo:
+        lo, hi = todo.pop()
+        if len(set(key[lo:hi].tolist())) < p.containment * size:
+            continue
+        held: dict[int, int] = {}
+        left, best = lo, (0, 0, lo, lo)
+        for right in range(lo, hi):
+            k = int(key[right])
+            held[k] = held.get(k, 0) + 1
+            while held[int(key[left])] > 1 or place[right] - place[left] > size * 1.25 + 2:
+                gone = int(key[left])
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                left += 1
+            best = max(best, (len(held), int(place[left] - place[right]), left, right))
+        many, _, left, right = best
+        if many >= p.containment * size:
+            out.append((int(place[left]), int(place[right]), many / size))
+            todo += [(lo, left), (right + 1, hi)]
+    return out
+
+
 def license_spans(texts: pa.Array, known: Templates, p: LicenseScan, retrieve=candidates) -> list[list[tuple[str, int, int, float]]]:
     """Per text (license, start, end, containment) in code points. Where matches overlap, the longest stays, then the fullest.
 
@@ -214,12 +244,10 @@ def license_spans(texts: pa.Array, known: Templates, p: LicenseScan, retrieve=ca
         inside = a0 + np.flatnonzero((own[np.minimum(own.searchsorted(key[a0:b0]), len(own) - 1)] == key[a0:b0]) & (of[a0:b0] == of[a]))
         if not len(inside):
             continue
-        # the densest run: hits no further apart than the template is long
+        # hits no further apart than the template is long, cut down to the stretches that hold it
         for run in np.split(inside, np.flatnonzero(np.diff(inside) > slack) + 1):
-            part = len(np.unique(key[run])) / len(known.sets[t])
-            if part >= p.containment:
-                first, last = real[at[run[0]]], real[at[run[-1]] + p.width - 1]
-                found.setdefault(int(of[a]), []).append((part, int(first), int(last), known.names[t]))
+            for first, last, part in stretches(run, key[run], len(own), p):
+                found.setdefault(int(of[a]), []).append((part, int(real[at[first]]), int(real[at[last] + p.width - 1]), known.names[t]))
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in range(len(texts))]
     for d, hits in found.items():
         places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[d].as_py())]

@@ -276,7 +276,7 @@ def write_tokens(docs: DataFrame, path: str, p: OrcTokens, id_col: str = "doc_id
     encoded = ordered.mapInArrow(_tokenised(p), "doc_id long, place long, ids array<int>")
     options = {
         "compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(p.false_positives), "orc.row.index.stride": str(p.row_stride),
-        "orc.stripe.size": str(p.stripe_bytes), "orc.create.index": "true",
+        "orc.stripe.size": str(p.stripe_bytes), "orc.rows.between.memory.checks": str(p.row_stride), "orc.create.index": "true",
     }
     encoded.select(F.spark_partition_id().alias("file"), "*").write.options(**options).orc(path)
 

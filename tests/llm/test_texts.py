@@ -129,9 +129,12 @@ def test_veiled_data_is_added(model):
 
 
 def test_personal_data_of_odd_rows(odd):
-    got = pii_crf.find_personal_data(odd).select("row.doc_id", "row.key", "n_ip", "spans").collect()
-    assert len(got) == odd.count() and all(r.key == "k" for r in got)
-    assert {r.doc_id: r.spans for r in got}[10].startswith("ip:301:308")
+    got = pii_crf.find_personal_data(odd).select("row.*", "n_ip", "base_sha256", "spans", "n_spans").collect()
+    assert len(got) == odd.count() and all((r.row, r.key) == ("n", "k") for r in got)
+    for r in got:
+        base = slow_base(r.text or "")
+        assert r.base_sha256 == sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest() and r.n_spans >= len(base) and r.n_ip == sum(k == "ip" for k, _, _ in base)
+    assert {r.doc_id: r.spans for r in got}[10].startswith("ip:301:308") and [r.spans for r in got if r.doc_id in (0, 100)] == ["", "", ""]
     assert pii_crf.find_personal_data(empty(odd)).count() == 0
 
 
@@ -230,7 +233,7 @@ def test_forgotten_units_and_clashing_hashes(docs, monkeypatch):
 
 
 def test_files_have_stripes_row_indexes_and_bloom_filters(spark, tmp_path):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("repeat(concat(' w', cast(pmod(xxhash64(id), 99991) as string)), 60)").alias("text"))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 100), x -> cast(pmod(xxhash64(id, x), 99991) as string)), ' ')").alias("text"))
     path = str(tmp_path / "tokens")
     orc_tokens.write_tokens(docs, path, orc_tokens.OrcTokens(BYTES, stripe_bytes=200_000))
     jvm, names = spark._jvm, [str(f) for f in (tmp_path / "tokens").glob("*.orc")]
@@ -268,6 +271,8 @@ def test_token_files(spark, docs, odd, tmp_path):
     assert orc_tokens.read_tokens(spark, path).where("doc_id = 7").count() == 1
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in orc_tokens.read_tokens(spark, path).where("doc_id = 7")._jdf.queryExecution().toString()
     assert orc_tokens.tokens_of(empty(both), p).count() == 0
+    clashing = odd.selectExpr("doc_id", "text", "row AS file", "key AS ids", "n_chars AS place", "source AS group")
+    assert sorted(r.n_tokens for r in orc_tokens.tokens_of(clashing, p).collect()) == sorted(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
 
 
 # secrets
@@ -331,6 +336,14 @@ def test_redaction():
 
 
 def test_secrets_of_odd_rows(odd):
+    more = odd.unionByName(odd.selectExpr("doc_id + 500 as doc_id", "concat(repeat('pad ', 200000), text, ' token=abcdefgh123') as text", "source", "n_chars", "row", "key").where("doc_id < 503"))
+    got = secret_scan.scan_secrets(more).select("row.*", "n_assign", "base_sha256", "spans", "n_spans").collect()
+    assert len(got) == more.count()
+    for r in got:
+        base = slow_secrets(r.text or "")
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert (r.row, r.key, r.n_spans, r.spans, r.base_sha256) == ("n", "k", len(base), told, sha256(told.encode()).hexdigest())
+    assert sum(r.n_assign for r in got) == 4  # one in each long text; doc_id 500 comes twice
     assert secret_scan.without_secrets(odd).count() == odd.count() and secret_scan.without_secrets(odd).columns == odd.columns
     assert secret_scan.scan_secrets(empty(odd)).count() == 0
 
@@ -405,7 +418,10 @@ def test_every_template_is_found_by_its_name(licenses):
 
 
 def test_licenses_of_odd_rows(odd):
-    assert license_scan.scan_licenses(odd).select("row.row", "licenses").count() == odd.count()
+    more = odd.unionByName(odd.selectExpr("doc_id + 500 as doc_id", "concat(repeat('pad ', 200000), 'SPDX-License-Identifier: MIT') as text", "source", "n_chars", "row", "key").where("doc_id < 502"))
+    got = license_scan.scan_licenses(more).select("row.doc_id", "row.row", "licenses", "spans", "containment").collect()
+    assert len(got) == more.count() and all(r.row == "n" for r in got)
+    assert all((r.licenses, r.spans, r.containment) == (("MIT", "MIT:800000:800028", 1.0) if (r.doc_id or 0) >= 500 else ("", "", None)) for r in got)
     assert license_scan.scan_licenses(empty(odd)).count() == 0
 
 
