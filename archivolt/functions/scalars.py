@@ -100,13 +100,6 @@ def tape_list(names: Column, this: Column) -> Column:
     return F.when((F.size(names) == 1) & (F.get(names, F.lit(0)) == this), "this tape").when(F.size(names) == 1, F.concat(F.lit("tape "), F.get(names, F.lit(0)))).otherwise(F.concat(F.lit("tapes "), F.array_join(names, ", ")))
 
 
-def status_text(v: Column, retired: Column, encrypted: Column) -> Column:
-    """A tape's status line from its last verification struct."""
-    bad = F.array_compact(F.array(*(F.when(v[k] > 0, F.concat(v[k].cast("string"), F.lit(f" {told}"))) for k, told in (("failed", "FAILED"), ("repairable", "repairable"), ("problems", "problems")))))
-    text = F.when(v.isNull(), "never verified").when(F.size(bad) > 0, F.array_join(bad, ", ")).otherwise("OK")
-    return F.concat(F.when(retired.isNotNull(), "RETIRED, ").otherwise(""), text, F.when(encrypted, ", encrypted").otherwise(""))
-
-
 def cleaning_warning(required: Column, requested: Column) -> Column:
     """Required goes before requested; null if neither."""
     return F.when(required, "drive needs cleaning now").when(requested, "drive requests cleaning")

@@ -209,3 +209,8 @@ def tape_order(block: str = "block", path: str = "path") -> list[Column]:
 
 def deepest_first(path: str = "path") -> list[Column]:
     return [F.length(path).desc(), F.col(path).asc()]
+
+
+def drive_order(path: str = "path") -> list[Column]:
+    """Devices by the number at the end of their name, not by its digits: sg2 before sg10; names without one count as 0."""
+    return [F.coalesce(F.regexp_extract(path, r"(\d+)\z", 1).try_cast("int"), F.lit(0)).asc(), F.col(path).asc()]

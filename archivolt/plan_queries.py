@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from archivolt import schemas
+from archivolt import reports, schemas
 from archivolt.functions import scalars, validate
 from archivolt.operators import catalog, content, ordered, resume
 from archivolt.plans import purge, put, tape
@@ -420,12 +420,53 @@ def labels_and_names(spark, sf_dir):
     )
 
 
+# Reports
+
+
 @query("""
-    SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 = 0 THEN 'RETIRED, ' ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN 'never verified' WHEN c_custkey % 3 > 0 AND c_custkey % 2 > 0 THEN (c_custkey % 3) || ' FAILED, 1 repairable'
-           WHEN c_custkey % 3 > 0 THEN (c_custkey % 3) || ' FAILED' WHEN c_custkey % 2 > 0 THEN '1 repairable' ELSE 'OK' END || CASE WHEN c_custkey % 4 = 0 THEN ', encrypted' ELSE '' END AS status FROM customer
+    SELECT printf('%-16s  %s  %8d files  %10s  ', CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END, CAST(c_custkey AS VARCHAR), c_nationkey, CASE WHEN c_custkey >= 1024 THEN printf('%.1f KiB', c_custkey / 1024.0) ELSE c_custkey || ' B' END)
+           || CASE WHEN c_custkey % 5 = 0 THEN 'RETIRED 1970-01-02, ' ELSE '' END
+           || CASE WHEN c_custkey % 7 = 0 THEN 'never verified' ELSE 'verified 1970-01-03 ' || CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 > 0 THEN (c_custkey % 3) || ' FAILED, 1 REPAIRABLE' WHEN c_custkey % 3 > 0 THEN (c_custkey % 3) || ' FAILED' WHEN c_custkey % 2 > 0 THEN '1 REPAIRABLE' ELSE 'OK' END END
+           || CASE WHEN c_custkey % 8 = 0 THEN ', encrypted (key a, b)' WHEN c_custkey % 4 = 0 THEN ', encrypted' ELSE '' END AS line FROM customer
 """)
-def tape_status(spark, sf_dir):
-    """Status lines of tapes."""
+def tape_report(spark, sf_dir):
+    """The line of each cataloged tape."""
     k = F.col("c_custkey")
-    v = F.when(k % 7 != 0, F.struct((k % 3).alias("failed"), (k % 2).alias("repairable"), F.lit(0).alias("problems")))
-    return table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), scalars.status_text(v, F.when(k % 5 == 0, F.lit(1)), k % 4 == 0).alias("status"))
+    keys = F.when(k % 8 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    tapes = table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("id"), F.when(k % 2 == 0, F.col("c_name")).otherwise("").alias("label"), F.col("c_nationkey").alias("files"), k.alias("bytes"), F.when(k % 5 == 0, 86_400_000_000_000).cast("long").alias("retired_ns"),
+        F.when(k % 4 == 0, F.struct(keys.alias("keys"))).alias("encryption"), k,
+    )
+    seen = tapes.where("c_custkey % 7 <> 0").select(F.col("id").alias("tape_id"), F.lit(2).alias("seq"), F.lit(2 * 86_400_000_000_000).cast("long").alias("at_ns"), (k % 3).alias("failed"), (k % 2).alias("repairable"), F.lit(0).alias("problems"))
+    older = tapes.select(F.col("id").alias("tape_id"), F.lit(1).alias("seq"), F.lit(9 * 86_400_000_000_000).cast("long").alias("at_ns"), F.lit(9).alias("failed"), F.lit(0).alias("repairable"), F.lit(0).alias("problems")).where("tape_id % 7 <> 0")
+    return reports.tape_lines(tapes, seen.unionByName(older))
+
+
+@query(ENTRIES_SQL + """
+    SELECT sha256 || '  ' || lpad(CAST(size AS VARCHAR), 12, ' ') || '  ' || path || CASE WHEN line_no % 3 = 0 THEN '  (encrypted)' WHEN line_no % 5 = 0 THEN '  (recovered)' WHEN ref_path IS NOT NULL THEN '  -> ' || tape_id || ':' || ref_path ELSE '' END AS line FROM e WHERE starts_with(path, 'en/')
+    UNION ALL SELECT 'Files: ' || count(*) || '  Bytes: ' || CASE WHEN sum(size) >= 1048576 THEN printf('%.1f MiB', sum(size) / 1048576.0) WHEN sum(size) >= 1024 THEN printf('%.1f KiB', sum(size) / 1024.0) ELSE sum(size) || ' B' END FROM e WHERE starts_with(path, 'en/')
+""")
+def listing_report(spark, sf_dir):
+    """A folder's listing with its totals."""
+    age = F.struct(F.col("size"), F.col("sha256"), F.array(F.lit("r")).alias("recipients"))
+    rows = entries(spark, sf_dir).withColumn("recovered", F.col("line_no") % 5 == 0).withColumn("age", F.when(F.col("line_no") % 3 == 0, age))
+    lines, total = reports.listing(rows, "en")
+    return lines.unionByName(total)
+
+
+@query("""
+    SELECT event_id, '[' || repeat('=', CAST(floor(event_id / m * 32) AS INTEGER)) || repeat(' ', CAST(32 - floor(event_id / m * 32) AS INTEGER)) || '] ' || printf('%3.0f', event_id / m * 100) || '%  ' || CASE WHEN event_id // 10 >= 1024 THEN printf('%.1f KiB', event_id // 10 / 1024.0) ELSE (event_id // 10) || ' B' END || '/s' AS line
+    FROM events, (SELECT max(event_id) + 1 AS m FROM events)
+""")
+def progress_lines(spark, sf_dir):
+    """Progress of a transfer: bar, share, rate."""
+    e = table(spark, sf_dir, "events")
+    total = (e.agg(F.max("event_id").alias("m")).first().m or 0) + 1
+    return e.select("event_id", reports.progress_line(F.col("event_id"), F.lit(total), F.lit(10.0)).alias("line"))
+
+
+@query("SELECT path, row_number() OVER (ORDER BY CAST(substring(path, 8) AS INTEGER), path) AS place FROM (SELECT DISTINCT '/dev/sg' || user_id AS path FROM events)")
+def drive_order(spark, sf_dir):
+    """Drives by the number of their device."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("/dev/sg"), F.col("user_id").cast("string")).alias("path")).distinct()
+    return ordered.numbered(rows, ordered.drive_order())
