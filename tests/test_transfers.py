@@ -4,7 +4,7 @@ from hashlib import sha256
 
 from pyspark.sql import functions as F
 
-from archivolt import sinks
+from archivolt import sinks, transfers
 from archivolt.operators import content, parity, resume, telemetry
 from archivolt.sources import host, ranges
 
@@ -78,3 +78,26 @@ def test_damaged_files_are_scanned_and_repaired_in_place(spark, tmp_path):
     fixed = parity.repair(ranges.data_shards(found, ["path"]), coded, ["path"]).collect()
     assert all(r.ok for r in fixed) and {r.path for r in fixed} == {"hit", "cut"} and len(fixed) == 20 + 3
     assert sorted(bytes(r.shard) for r in fixed if r.path == "hit") == sorted(raw["hit"][i * 16 : i * 16 + 16] for i in range(30, 50))
+
+
+def test_files_are_archived_and_deleted_as_planned(spark, tmp_path):
+    src, tape = tmp_path / "src", tmp_path / "tape"
+    (src / "a/b").mkdir(parents=True)
+    data = {"a/b/one": b"x" * 1000, "a/two": b"", "three": b"y" * 37, "late": b"z", "there": b"t"}
+    for n, x in data.items():
+        (src / n).write_bytes(x)
+    tape.mkdir()
+    (tape / "there").write_bytes(b"old")
+    stat = {n: (src / n).stat() for n in data}
+    rows = [(str(src / n), n, s.st_size, s.st_mtime_ns) for n, s in stat.items()] + [(str(src / "gone"), "gone", 1, 1)]
+    (src / "late").write_bytes(b"longer")
+    files = spark.createDataFrame(rows, "source string, path string, size long, mtime_ns long")
+    got = {r.path: r for r in transfers.archive_files(files, str(tape), 16).collect()}
+    assert {n: r.result for n, r in got.items()} == {"a/b/one": "ARCHIVED", "a/two": "ARCHIVED", "three": "ARCHIVED", "late": "CHANGED", "there": "EXISTS", "gone": "UNREADABLE"}
+    one = got["a/b/one"]
+    assert (tape / "a/b/one").read_bytes() == data["a/b/one"] and one.sha256 == sha256(data["a/b/one"]).hexdigest() and len(one.chunks) == 63 and one.chunks[-1] == sha256(b"x" * 8).hexdigest()
+    assert (tape / "there").read_bytes() == b"old" and not [p for p in tape.rglob("*.partial")] and got["a/two"].chunks == []
+    (src / "link").symlink_to(src / "a")
+    planned = spark.createDataFrame([("a/b/one", 1000, rows[0][3], "DELETE"), ("late", 1, rows[3][3], "DELETE"), ("link/two", 0, rows[1][3], "DELETE"), ("none", 1, 1, "DELETE"), ("three", 37, rows[2][3], "KEEP")], "path string, size long, mtime_ns long, decision string")
+    assert {r.path: r.result for r in transfers.delete_files(planned, str(src)).collect()} == {"a/b/one": "DELETED", "late": "CHANGED", "link/two": "OUTSIDE", "none": "GONE"}
+    assert transfers.remove_folders(["a", "a/b", "link"], str(src)) == ["a/b"] and (src / "a/two").exists() and (src / "three").exists()
