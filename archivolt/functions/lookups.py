@@ -7,7 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values, from the SCSI standards (SPC, SSC, SPL) and drive manuals.
+# Codes and severities are those of the SCSI standards (SPC, SSC, SPL) and drive manuals; the words for them are what
+# reports have to say, letter for letter.
 DENSITIES = {0x40: "LTO-1", 0x42: "LTO-2", 0x44: "LTO-3", 0x46: "LTO-4", 0x58: "LTO-5", 0x5A: "LTO-6", 0x5C: "LTO-7", 0x5D: "LTO-7 Type M (M8)", 0x5E: "LTO-8", 0x60: "LTO-9"}
 ACTIVITIES = {
     0x00: "idle", 0x01: "cleaning", 0x02: "loading", 0x03: "unloading", 0x04: "other medium activity", 0x05: "reading", 0x06: "writing", 0x07: "locating",

@@ -30,6 +30,7 @@ def records(files: DataFrame, written: DataFrame, entries: DataFrame, tapes: Dat
     rows = rows.join(known.select(F.col("id").alias("c_tape"), "retired_ns", "verified_ok", "verified_at_ns", "name"), "c_tape", "left")
     rows = rows.join(known.select(F.col("id").alias("w_tape"), F.col("name").alias("w_name")), "w_tape", "left")
     said = lambda name, text: F.concat(F.lit("tape "), name, F.lit(text))
+    # The reasons, as far as they go here; a report may add sizes and times to "differs"
     reason = (
         F.when(F.col("w_tape").isNull(), "not archived")
         .when((F.col("w_size") != F.col("size")) | (F.col("w_mtime") != F.col("mtime_ns")), F.lit("archived copy differs"))
