@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset and all runs in one process."""
+    """spark.checkpoint.dir, or the checkpoint folder set in the context; one of our own only where neither is and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="archivolt-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(found)  # kept for the next call
     return found.rstrip("/")
 
 
