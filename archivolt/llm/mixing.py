@@ -17,7 +17,7 @@ class Mix:
 
     Weights go as share^a, 0 <= a <= 1. entropy: the least entropy of the weights as a part of log(number of
     sources); None: as flat as max_repeats lets. max_repeats: the most passes over any source; it wins over entropy.
-    budget: tokens to give out; None: the least budget at which no source falls short of one whole pass, so that
+    span_bits: blocks are added up in 2^span_bits ranges of their draws. budget: tokens to give out; None: the least budget at which no source falls short of one whole pass, so that
     nothing is dropped. block_tokens: mean size of a block. rounds x step: the exponent is cut into `step` parts
     `rounds` times, log2(step) bisections in each job.
     """
@@ -29,6 +29,7 @@ class Mix:
     seed: int = 1
     rounds: int = 4
     step: int = 32
+    span_bits: int = 10
 
 
 def tokens(text) -> Column:
@@ -86,7 +87,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", i
     fit into its quota, then rows of the next block, in the order of its own permutation, while they fit.
     The quota is missed by less than one document. With no budget given every row is taken once at least.
 
-    A null source is a source of its own; null and empty texts count one token. Repeated rows are taken each, in an
+    A null source is a source of its own; null and empty texts count one token, very long ones are counted whole. Repeated rows are taken each, in an
     order among themselves that doesn't matter. Other columns stay in `row`; an empty table gives no rows.
     Only the boundary block of each source, about block_tokens in size, is ever ordered row by row.
     """
@@ -112,9 +113,16 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", i
 
     part = drawn(sizes).where("rest > 0")
     block = part.groupBy("source", "block", "whole", "rest").agg(F.sum("tokens").alias("tokens"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(mix.seed), F.col("whole"), F.col("block")), "block")
-    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    block = written(block.withColumn("before", before).where("before < rest"), "blocks")
+    # blocks in the order of their draws; the draws' ranges are added up first, so no task orders all blocks of a source
+    draw = F.xxhash64(F.lit(mix.seed), F.col("whole"), F.col("block"))
+    block = written(block.withColumn("draw", draw).withColumn("span", F.shiftright("draw", 64 - mix.span_bits)), "block_sizes")
+    ahead = Window.unboundedPreceding, -1
+    spans = block.groupBy("source", "span").agg(F.sum("tokens").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("span").rowsBetween(*ahead)), F.lit(0))
+    spans = written(spans.select("source", "span", earlier.alias("earlier")), "spans")
+    within = F.coalesce(F.sum("tokens").over(Window.partitionBy("source", "span").orderBy("draw", "block").rowsBetween(*ahead)), F.lit(0))
+    block = block.withColumn("within", within).join(small_side(spans), ["source", "span"]).withColumn("before", F.col("earlier") + F.col("within"))
+    block = written(block.where("before < rest"), "blocks")
     edge = block.where(F.col("before") + F.col("tokens") > F.col("rest")).select("source", "block", (F.col("rest") - F.col("before")).alias("room"))
     edges = small_side(edge)
     line = Window.partitionBy("source", "block").orderBy("place", "tokens")
