@@ -162,7 +162,7 @@ def cartridge_attributes(spark, sf_dir):
 
 
 @query("""
-    SELECT event_id, 0 AS ord, event_id % 256 AS index, 'AES-256-GCM' AS name, 256 AS key_bits, event_id % 2 = 1 AS usable FROM events
+    SELECT event_id, 0 AS ord, event_id % 256 AS index, 'AES-256-GCM' AS name, CAST(256 AS BIGINT) AS key_bits, event_id % 2 = 1 AS usable FROM events
     UNION ALL SELECT event_id, 1, 7, 'algorithm 0x0001' || lpad(lower(to_hex(user_id % 16 + 32)), 4, '0'), 128, FALSE FROM events
 """)
 def algorithms(spark, sf_dir):
@@ -242,7 +242,7 @@ def drive_polls(events):
 
 
 @query("""
-    SELECT event_id, CAST(k AS INTEGER) AS ord, CASE WHEN k = 0 THEN 88 ELSE 90 END AS primary_code, (event_id + k) % 2 = 0 AS writable, k = 1 AS is_default, event_id * 10 + k AS capacity_mb, 'LTO-CVE' AS organization,
+    SELECT event_id, CAST(k AS INTEGER) AS ord, CAST(CASE WHEN k = 0 THEN 88 ELSE 90 END AS BIGINT) AS primary_code, (event_id + k) % 2 = 0 AS writable, k = 1 AS is_default, event_id * 10 + k AS capacity_mb, 'LTO-CVE' AS organization,
            CASE WHEN k = 0 THEN 'U-516' ELSE 'U-616' END AS name, event_type AS description, CASE WHEN k = 0 THEN 'LTO-5' ELSE 'LTO-6' END AS generation FROM events, range(2) r(k)
 """)
 def densities(spark, sf_dir):
@@ -255,7 +255,7 @@ def densities(spark, sf_dir):
     return telemetry.densities(rows, KEYS).select("event_id", "ord", "primary_code", "writable", "is_default", "capacity_mb", "organization", "name", "description", "generation")
 
 
-@query("SELECT event_id, 2 AS encrypt_mode, event_id % 3 AS algorithm_index, user_id AS key_instance, event_type AS key, CASE event_id % 3 WHEN 1 THEN 'AES-256-GCM' WHEN 2 THEN 'algorithm 0x00010020' END AS algorithm FROM events")
+@query("SELECT event_id, CAST(2 AS BIGINT) AS encrypt_mode, event_id % 3 AS algorithm_index, user_id AS key_instance, event_type AS key, CASE event_id % 3 WHEN 1 THEN 'AES-256-GCM' WHEN 2 THEN 'algorithm 0x00010020' END AS algorithm FROM events")
 def encryption_status(spark, sf_dir):
     """A drive's encryption as it is set, with its key and the algorithm's name."""
     name = F.hex(F.col("event_type").cast("binary"))

@@ -248,7 +248,7 @@ def put_summary(spark, sf_dir):
     return put.summary(put.decide(files, none, none, none, spark.createDataFrame([], schemas.TAPES), "new")).select(F.lit("all").alias("path"), "decision", "files", "bytes")
 
 
-@query("SELECT source AS id, CAST(count(*) AS INTEGER) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CASE WHEN source = (SELECT max(source) FROM documents) THEN 5 END AS retired_ns, 9 AS imported_at_ns FROM documents GROUP BY source")
+@query("SELECT source AS id, CAST(count(*) AS INTEGER) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(CASE WHEN source = (SELECT max(source) FROM documents) THEN 5 END AS BIGINT) AS retired_ns, CAST(9 AS BIGINT) AS imported_at_ns FROM documents GROUP BY source")
 def imported_tapes(spark, sf_dir):
     """Tapes imported from their manifests; retirement stays (K8)."""
     rows = plain_entries(spark, sf_dir).withColumn("ref", no_ref())
@@ -367,7 +367,7 @@ def ambiguous_lookup(spark, sf_dir):
     return catalog.lookup(tapes, "2")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN 7 WHEN c_custkey = 1 THEN 99 END AS retired_ns, CASE WHEN c_custkey = 1 THEN 'a,b' WHEN c_custkey % 2 = 0 THEN 'a' END AS keys FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(CASE WHEN c_custkey % 3 = 0 THEN 7 WHEN c_custkey = 1 THEN 99 END AS BIGINT) AS retired_ns, CASE WHEN c_custkey = 1 THEN 'a,b' WHEN c_custkey % 2 = 0 THEN 'a' END AS keys FROM customer")
 def tape_updates(spark, sf_dir):
     """A tape retired and its encryption recorded; the first time and the set of keys stay."""
     c = table(spark, sf_dir, "customer")
