@@ -92,7 +92,7 @@ def device_status(spark, sf_dir):
 @query("SELECT event_id, event_id AS loads, user_id AS cleanings, event_id % 2 = 1 AS temperature_exceeded, CAST(NULL AS BIGINT) AS power_cycles FROM events")
 def drive_stats(spark, sf_dir):
     """A drive's statistics."""
-    rows = params_of(spark, sf_dir, telemetry.DEVICE_STATS, param(0, be(F.col("event_id"), 4)), param(1, be(F.col("user_id"), 2)), param(0x81, be(F.col("event_id") % 2, 1)))
+    rows = params_of(spark, sf_dir, telemetry.DEVICE_STATS, param(0, be(F.col("event_id"), 8)), param(1, be(F.col("user_id"), 8)), param(0x81, be(F.col("event_id") % 2, 1)))
     return telemetry.drive_stats(rows, KEYS).select("event_id", *(F.col(c).cast("long").alias(c) for c in ("loads", "cleanings", "power_cycles")), "temperature_exceeded")
 
 

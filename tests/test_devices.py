@@ -2,6 +2,7 @@
 
 import struct
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -149,3 +150,15 @@ def test_segments_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("tape_id string, path string, line_no long, size long").parquet(str(tmp_path / "in"))
     watch.write_batches(watch.assign_segments(stream, 1), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert {r.path: r.segment for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": 1, "b": 2, "c": 2}
+
+
+def test_drive_stats_keep_numbers_of_any_size(spark, tmp_path):
+    pairs = [(1, 65535), (2, 65536), (3, 89999), (2**32, 2**40), (2**63 - 1, 2**63 - 1)]
+    spark.createDataFrame(pairs, "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = device_queries.drive_stats(spark, str(tmp_path)).collect()
+    cols = ["event_id", "loads", "cleanings", "temperature_exceeded", "power_cycles"]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = c.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL['drive_stats']})").fetchall()
+    assert sorted(tuple(r[n] for n in cols) for r in got) == sorted(want)
+    assert sorted((r[0], r[2]) for r in want) == pairs
